@@ -69,7 +69,7 @@ def add_offsets(df: DataFrame, amount) -> DataFrame:
     totals = df.groupBy("_p").agg(F.sum(amount).cast("bigint").alias("_t"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)).cast("bigint")).drop("_t")
-    return df.join(totals, "_p")
+    return df.join(few(written(totals, "offsets")), "_p")
 
 
 def few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
