@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -20,11 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gazette-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@functools.cache
+def local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix=f"gazette-{application}-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, so that a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/gazette-{uuid.uuid4().hex}/{name}"

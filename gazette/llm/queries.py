@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, packing, quality, sharding, token_count, toxicity, url_filter
+from . import bpe, fingerprint, neardup, packing, quality, sharding, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op9_near_duplicates, op10_sharding)}
 
 FEATURES_SQL = """
 words AS (
