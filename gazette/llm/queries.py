@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, neardup, packing, quality, sharding, token_count, toxicity, url_filter
+from . import bpe, fingerprint, neardup, packing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op9_near_duplicates, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op9_near_duplicates, op10_sharding)}
 
 FEATURES_SQL = """
 words AS (
