@@ -1,6 +1,473 @@
-"""All registered queries of the notice service: name -> (spark, sf_dir) -> DataFrame, and their DuckDB SQL."""
+"""All registered queries of the notice service: name -> (spark, sf_dir) -> DataFrame, and their DuckDB SQL.
+
+Each query applies an operator to whole views of the test tables (sources.entities). A limit stands only where it is the
+feature: queues, top lists and per-group limits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import decisions as D
+from ..operators import reads as R
+from ..operators import writes as W
+from ..sources.entities import Source, duckdb_with
+
+AS_OF = "2024-01-20 00:00:00"
+ORDERS_AS_OF = "2001-07-01 00:00:00"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(views: str = "", sql: str | None = None):
+    """Registers a function of a Source under its name, with DuckDB SQL over the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Source(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = f"{duckdb_with(*views.split())} {sql}" if views else sql
+        return f
+
+    return add
+
+
+def text(*columns: str) -> list:
+    """Columns as text, as times are compared."""
+    return [F.col(c).cast("string").alias(c) for c in columns]
+
+
+FEED_SQL = """FROM notices n JOIN subscriptions s USING (site_id) WHERE n.is_active
+  AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.user_id = s.user_id AND h.notice_id = n.notice_id)"""
+IS_NEW = "coalesce(s.registration_completed_at IS NOT NULL AND n.created_at > s.last_viewed_at, false)"
+ORDER = "coalesce(n.published_at, n.created_at, n.scraped_at) DESC NULLS LAST, n.notice_id DESC"
+
+
+@query("notices subscriptions hidden", f"""SELECT s.user_id, n.notice_id, n.site_id, s.alias, n.title, coalesce(n.author, '') AS author, coalesce(n.detail_url, n.url) AS link,
+  coalesce(strftime(n.published_at, '%Y-%m-%dT%H:%M:%S'), '') AS published_at, strftime(n.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, {IS_NEW} AS is_new {FEED_SQL}""")
+def user_feed(s):
+    return R.shaped_feed(R.user_feed(s.notices, s.subscriptions, s.hidden))
+
+
+@query("subscriptions sites notices", """SELECT u.user_id, s.site_id, s.site_url, u.alias,
+  CASE WHEN u.registration_completed_at IS NULL THEN false ELSE EXISTS (SELECT 1 FROM notices n WHERE n.site_id = s.site_id AND n.is_active AND n.created_at > u.last_viewed_at) END AS has_new,
+  CASE WHEN u.registration_completed_at IS NULL AND coalesce(s.crawl_status, 'active') = 'active' THEN 'pending' ELSE coalesce(s.crawl_status, 'active') END AS crawl_status,
+  s.validation_error_code, u.registration_completed_at IS NOT NULL AS registration_completed, u.notification_enabled FROM subscriptions u JOIN sites s ON u.site_id = s.site_id""")
+def subscription_status(s):
+    return R.subscription_status(s.subscriptions, s.sites, s.notices)
+
+
+@query("sites notices", """SELECT site_id, site_url, EXISTS (SELECT 1 FROM notices n WHERE n.site_id = sites.site_id AND n.created_at > TIMESTAMP '2001-07-01') AS has_new FROM sites""")
+def sites_with_new(s):
+    viewed = s.sites.select("site_id", W.instant(ORDERS_AS_OF).alias("last_viewed_at"))
+    return R.sites_with_news(s.sites, s.notices, viewed)
+
+
+@query("sites notices", "SELECT site_url, notice_id, title FROM notices JOIN sites USING (site_id) WHERE is_active")
+def notices_by_url(s):
+    return R.notices_of_url(s.notices, s.sites).select("site_url", "notice_id", "title")
+
+
+@query("sites notices", """SELECT site_id, site_url, coalesce((SELECT title FROM notices n WHERE n.site_id = sites.site_id AND is_active ORDER BY coalesce(published_at, created_at, scraped_at) DESC NULLS LAST, notice_id DESC LIMIT 1), '없음') AS title FROM sites""")
+def latest_title(s):
+    return R.latest_titles(s.notices, s.sites)
+
+
+@query("sites notices", """SELECT site_id, site_url, count(notice_id) AS n, CASE WHEN count(notice_id) > 0 THEN 'success' ELSE 'empty' END AS status
+  FROM sites LEFT JOIN (SELECT * FROM notices WHERE is_active) n USING (site_id) GROUP BY site_id, site_url""")
+def stored_notices_status(s):
+    return R.stored_notices_status(s.notices, s.sites)
+
+
+@query("sites subscriptions", "SELECT DISTINCT site_id, site_url FROM sites JOIN subscriptions USING (site_id)")
+def crawl_targets(s):
+    return R.crawl_targets(s.sites, s.subscriptions)
+
+
+@query("states sites", "SELECT site_url, api_id, api_url, last_processed_hash, processing_status, retry_count FROM states JOIN sites USING (site_id)")
+def api_configs(s):
+    return R.api_config(s.states, s.sites).select("site_url", "api_id", "api_url", "last_processed_hash", "processing_status", "retry_count")
+
+
+@query("states", r"""SELECT api_id, site_id, api_url, extractor_config FROM states WHERE regexp_matches(api_url, '^https?://a[.]example/[0-9]+5$') AND CAST(extractor_config->>'$.k' AS BIGINT) >= 50 AND site_id <> 7
+  ORDER BY scraped_at DESC NULLS LAST, api_id DESC LIMIT 5""")
+def rule_templates_topk(s):
+    return R.rule_templates(s.states, "^https?://a[.]example/[0-9]+5$", "$.k", 50, exclude_site=7)
+
+
+@query("runs sites", "SELECT crawl_run_id, site_url, status, CAST(started_at AS VARCHAR) AS started_at FROM runs JOIN sites USING (site_id) WHERE review_label IS NULL AND status = 'failed' ORDER BY runs.started_at DESC, crawl_run_id DESC LIMIT 50")
+def review_queue_topk(s):
+    return R.review_queue(s.runs, s.sites, status="failed").select("crawl_run_id", "site_url", "status", *text("started_at"))
+
+
+TRACKED = "FROM runs WHERE started_at >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR AND (rule_activation_status IS NOT NULL OR agent_stage_telemetry <> '[]')"
+
+
+@query("runs", f"""SELECT count(*) AS tracked_runs, count(*) FILTER (WHERE rule_activation_status = 'approved') AS approved_runs, count(*) FILTER (WHERE rule_activation_status = 'reused') AS reused_runs,
+  count(*) FILTER (WHERE rule_activation_status = 'rejected') AS rejected_runs, count(*) FILTER (WHERE rule_activation_status = 'failed') AS failed_runs, count(*) FILTER (WHERE evaluator_decision = 'pass') AS evaluator_passes,
+  count(*) FILTER (WHERE evaluator_decision = 'fail') AS evaluator_failures, CAST(coalesce(sum(llm_input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(llm_output_tokens), 0) AS BIGINT) AS output_tokens,
+  round(CAST(coalesce(sum(llm_cost), 0) AS DOUBLE), 4) AS cost, count(DISTINCT site_id) AS affected_sites {TRACKED}""")
+def rollout_summary(s):
+    return R.rollout_summary(s.runs, AS_OF, 48)
+
+
+@query("runs", f"SELECT crawl_run_id, site_id, status, CAST(llm_cost AS DOUBLE) AS llm_cost, CAST(started_at AS VARCHAR) AS started_at {TRACKED} ORDER BY runs.started_at DESC, crawl_run_id DESC LIMIT 20")
+def rollout_recent(s):
+    return R.rollout_recent(s.runs, AS_OF, 48).select("crawl_run_id", "site_id", "status", "llm_cost", *text("started_at"))
+
+
+@query("subscriptions sites runs", """SELECT u.user_id, s.site_id, s.site_url, u.alias AS site_alias, coalesce(s.crawl_status, 'active') AS crawl_status, s.validation_error_code AS site_error_code, r.crawl_run_id, r.status AS crawl_run_status, r.error_code AS crawl_run_error_code,
+  CASE WHEN coalesce(s.crawl_status, 'active') IN ('failed', 'blocked') THEN coalesce(s.validation_error_code, r.error_code) ELSE s.validation_error_code END AS error_code
+  FROM sites s JOIN subscriptions u ON u.site_id = s.site_id LEFT JOIN (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC, crawl_run_id DESC) = 1) r ON r.site_id = s.site_id""")
+def latest_per_site(s):
+    return R.site_contexts(s.subscriptions, s.sites, s.runs)
+
+
+@query("folders folder_notices notices keywords", """, held AS (SELECT f.folder_id, string_agg(notice_id || ':' || title, ',' ORDER BY notice_id) AS held FROM folder_notices f JOIN notices USING (notice_id) GROUP BY 1),
+  words AS (SELECT folder_id, string_agg(keyword, ',' ORDER BY keyword) AS words FROM keywords GROUP BY 1), full_ AS (SELECT f.*, coalesce(held, '') AS held, coalesce(words, '') AS words FROM folders f LEFT JOIN held USING (folder_id) LEFT JOIN words USING (folder_id)),
+  below AS (SELECT user_id, parent_folder_id AS folder_id, string_agg(folder_id || '=' || folder_name || '[' || held || '](' || words || ')', ';' ORDER BY sort_order, folder_id) AS children FROM full_ WHERE parent_folder_id IS NOT NULL GROUP BY 1, 2)
+  SELECT r.user_id, CAST(r.folder_id AS BIGINT) AS folder_id, r.folder_name, r.held, coalesce(children, '') AS children FROM full_ r LEFT JOIN below b ON r.user_id = b.user_id AND r.folder_id = b.folder_id WHERE r.parent_folder_id IS NULL""")
+def folder_tree(s):
+    tree = R.folder_tree(s.folders, s.folder_notices, s.notices, s.keywords)
+    shown = lambda n: F.array_join(F.transform(n, lambda x: F.concat_ws(":", x["notice_id"], x["title"])), ",")
+    child = lambda c: F.concat(c["folder_id"].cast("string"), F.lit("="), c["folder_name"], F.lit("["), shown(c["notices"]), F.lit("]("), F.array_join(c["keywords"], ","), F.lit(")"))
+    return tree.select("user_id", F.col("folder_id").cast("bigint").alias("folder_id"), "folder_name", shown(F.col("notices")).alias("held"), F.coalesce(F.array_join(F.transform("children", child), ";"), F.lit("")).alias("children"))
+
+
+@query("folders", "SELECT CASE WHEN parent_folder_id IS NULL THEN 0 ELSE 1 END AS depth FROM folders WHERE folder_id = 103")
+def folder_depth(s):
+    return R.folder_depth(s.folders, 103)
+
+
+@query("users subscriptions", "SELECT user_id, nickname, role, coalesce(max_sites_limit, 5) AS max_sites, count(site_id) AS n_sites FROM users LEFT JOIN subscriptions USING (user_id) GROUP BY ALL")
+def user_limits(s):
+    return R.user_limits(s.users, s.subscriptions)
+
+
+@query("tokens", "SELECT token_id, fcm_token, platform FROM tokens WHERE user_id = 42")
+def device_tokens(s):
+    return R.device_tokens(s.tokens, 42)
+
+
+PENDING = "status = 'pending' OR (status = 'processing' AND updated_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE)"
+
+
+@query("outbox", f"SELECT event_id FROM outbox WHERE {PENDING} ORDER BY created_at, event_id LIMIT 100")
+def outbox_pending(s):
+    return R.pending_events(s.outbox, AS_OF).select("event_id")
+
+
+@query("deliveries tokens", "SELECT delivery_id, event_id, token_id, attempt_count, fcm_token FROM deliveries JOIN tokens USING (token_id) WHERE status IN ('pending', 'failed') AND attempt_count < 3 AND next_attempt_at <= TIMESTAMP '2024-01-20'")
+def ready_deliveries(s):
+    return R.ready_deliveries(s.deliveries, s.tokens, AS_OF).select("delivery_id", "event_id", "token_id", "attempt_count", "fcm_token")
+
+
+@query("outbox deliveries", """SELECT o.event_id, count(delivery_id) AS n, count(delivery_id) FILTER (WHERE d.status = 'sent') AS n_sent, count(delivery_id) FILTER (WHERE d.status IN ('pending', 'failed') AND attempt_count < 3) AS n_again,
+  CASE WHEN count(delivery_id) FILTER (WHERE d.status IN ('pending', 'failed') AND attempt_count < 3) > 0 THEN 'pending' WHEN count(delivery_id) FILTER (WHERE d.status = 'sent') > 0 THEN 'sent' ELSE 'cancelled' END AS status
+  FROM outbox o LEFT JOIN deliveries d ON d.event_id = o.event_id GROUP BY o.event_id""")
+def event_terminal_state(s):
+    return R.event_outcomes(s.outbox, s.deliveries)
+
+
+@query("tokens users", "SELECT trim(fcm_token) AS token, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS user_ids FROM tokens JOIN users USING (user_id) WHERE is_notification_enabled AND nullif(trim(fcm_token), '') IS NOT NULL AND lower(coalesce(platform, '')) = 'ios' GROUP BY 1")
+def broadcast_recipients(s):
+    return R.recipients(s.tokens, s.users, platform="ios").select("token", F.array_join(F.array_sort(F.transform("user_ids", lambda x: x.cast("string"))), ",").alias("user_ids"))
+
+
+@query("users", "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) // 500 AS chunk FROM users")
+def recipient_chunks(s):
+    return R.chunks(s.users.select("user_id"), "user_id", 500)
+
+
+@query("outbox subscriptions users", "SELECT event_id, o.status, user_id, site_id, alias, s.notification_enabled, nickname, is_notification_enabled FROM outbox o JOIN subscriptions s USING (subscription_id) JOIN users USING (user_id)")
+def notification_contexts(s):
+    return R.notification_contexts(s.outbox, s.subscriptions, s.users).drop("subscription_id")
+
+
+@query("subscriptions sites", "SELECT user_id, site_id, CASE WHEN validation_error_code IN ('NO_NOTICE_SOURCE', 'NOTICE_EXTRACTION_FAILED') THEN 'SITE_VALIDATION_FAILED' ELSE validation_error_code END AS public_code FROM subscriptions JOIN sites USING (site_id)")
+def public_error_codes(s):
+    return R.public_errors(s.subscriptions.join(s.sites, "site_id")).select("user_id", "site_id", "public_code")
+
+
+@query("notices subscriptions hidden", f"SELECT s.user_id, s.alias AS label, string_agg(CAST(n.notice_id AS VARCHAR), ',' ORDER BY {ORDER}) AS notice_ids, bool_or({IS_NEW}) AS has_new {FEED_SQL} GROUP BY 1, 2")
+def feed_grouped(s):
+    rows = R.grouped_feed(R.user_feed(s.notices, s.subscriptions, s.hidden))
+    return rows.select("user_id", "label", F.array_join(F.transform("notice_ids", lambda x: x.cast("string")), ",").alias("notice_ids"), "has_new")
+
+
+@query("notices subscriptions hidden", f"SELECT user_id, site_id, notice_id, place FROM (SELECT s.user_id, n.site_id, n.notice_id, row_number() OVER (PARTITION BY s.user_id, n.site_id ORDER BY {ORDER}) AS place {FEED_SQL}) WHERE place <= 3")
+def display_limit_count(s):
+    return R.first_per_group(R.user_feed(s.notices, s.subscriptions, s.hidden), 3, ["user_id", "site_id"]).select("user_id", "site_id", "notice_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("notices subscriptions hidden", f"SELECT s.user_id, n.notice_id {FEED_SQL} AND (coalesce(n.published_at, n.created_at) IS NULL OR coalesce(n.published_at, n.created_at) >= TIMESTAMP '1999-01-01')")
+def display_limit_date(s):
+    return R.since(R.user_feed(s.notices, s.subscriptions, s.hidden), "1999-01-01").select("user_id", "notice_id")
+
+
+@query("notices subscriptions hidden", f"SELECT s.user_id, n.notice_id, coalesce(n.author, 'Unknown') AS author, strftime(coalesce(n.published_at, n.created_at), '%Y-%m-%d') AS shown_date {FEED_SQL}")
+def display_format(s):
+    return R.display(R.user_feed(s.notices, s.subscriptions, s.hidden))
+
+
+@query("keywords folder_notices", "SELECT DISTINCT folder_id, p_partkey AS id FROM part JOIN keywords ON contains(lower(p_name), lower(keyword)) WHERE NOT EXISTS (SELECT 1 FROM folder_notices h WHERE h.folder_id = keywords.folder_id AND h.notice_id = p_partkey)")
+def keyword_categorize(s):
+    return R.categorize(s.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), s.keywords, s.folder_notices)
+
+
+@query("", "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
+def text_search(s):
+    return R.text_search(s.documents.select("doc_id", "text"), "tion the", "text").select("doc_id")
+
+
+@query("folders folder_notices notices", """SELECT CAST(r.folder_id AS BIGINT) AS folder_id FROM folders r WHERE parent_folder_id IS NULL AND EXISTS (SELECT 1 FROM folders c JOIN folder_notices h ON h.folder_id = c.folder_id JOIN notices n USING (notice_id)
+  WHERE (c.folder_id = r.folder_id OR (c.parent_folder_id = r.folder_id AND c.user_id = r.user_id)) AND contains(lower(title), 'notice 3'))""")
+def folder_search(s):
+    tree = R.folder_tree(s.folders, s.folder_notices, s.notices, s.keywords)
+    return R.folder_search(tree, "NOTICE 3").select(F.col("folder_id").cast("bigint").alias("folder_id"))
+
+
+CHANGED = "SELECT site_id, concat(site_url, CASE WHEN site_id % 2 = 0 THEN '' ELSE '/new' END) AS site_url, 'pending' AS crawl_status FROM sites WHERE site_id % 3 = 0"
+
+
+@query("sites", f", changes AS (SELECT *, CAST(NULL AS VARCHAR) AS validation_error_code FROM ({CHANGED}) UNION ALL SELECT 10000000, 'https://added.example', 'pending', 'NEW') SELECT coalesce(c.site_id, s.site_id) AS site_id, coalesce(s.site_url, c.site_url) AS site_url, CASE WHEN c.site_id IS NULL THEN s.crawl_status ELSE c.crawl_status END AS crawl_status, coalesce(c.validation_error_code, s.validation_error_code) AS validation_error_code FROM sites s FULL JOIN changes c ON s.site_id = c.site_id")
+def upsert_site(s):
+    """First url wins, a null error changes nothing."""
+    sites = s.sites
+    changes = sites.filter("site_id % 3 = 0").select("site_id", F.expr("concat(site_url, CASE WHEN site_id % 2 = 0 THEN '' ELSE '/new' END)").alias("site_url"), F.lit("pending").alias("crawl_status"), F.lit(None).cast("string").alias("validation_error_code"))
+    changes = changes.unionByName(s.spark.sql("SELECT 10000000L AS site_id, 'https://added.example' AS site_url, 'pending' AS crawl_status, 'NEW' AS validation_error_code"))
+    return W.upsert(sites.drop("nation_id"), changes, ["site_id"], keep_old=("site_url",), keep_if_null=("validation_error_code",))
+
+
+@query("notices", "SELECT notice_id, is_active AND NOT created_at < TIMESTAMP '2001-07-01' - INTERVAL 3 MONTH AS is_active FROM notices")
+def age_out(s):
+    return W.age_out(s.notices, ORDERS_AS_OF).select("notice_id", "is_active")
+
+
+@query("sites", "SELECT site_id, CASE WHEN site_id % 2 = 0 THEN 'active' ELSE crawl_status END AS crawl_status, CASE WHEN site_id % 2 = 0 THEN NULL ELSE validation_error_code END AS validation_error_code FROM sites")
+def activate_sites(s):
+    return W.activate(s.sites, s.subscriptions, s.sites.filter("site_id % 2 = 0"), AS_OF)[0].select("site_id", "crawl_status", "validation_error_code")
+
+
+@query("subscriptions", "SELECT subscription_id, CAST(CASE WHEN site_id % 2 = 0 AND registration_completed_at IS NULL THEN TIMESTAMP '2024-01-20' ELSE registration_completed_at END AS VARCHAR) AS registration_completed_at FROM subscriptions")
+def activate_subscriptions(s):
+    return W.activate(s.sites, s.subscriptions, s.sites.filter("site_id % 2 = 0"), AS_OF)[1].select("subscription_id", *text("registration_completed_at"))
+
+
+@query("subscriptions users sites", """, requests AS (SELECT user_id, user_id % greatest((SELECT count(*) FROM supplier), 1) AS site_id, 'mine' AS alias FROM users)
+  SELECT coalesce(s.user_id, r.user_id) AS user_id, coalesce(s.site_id, r.site_id) AS site_id, coalesce(r.alias, s.alias) AS alias,
+  CASE WHEN s.user_id IS NOT NULL THEN s.registration_completed_at IS NOT NULL ELSE coalesce(t.crawl_status, 'active') = 'active' END AS completed
+  FROM subscriptions s FULL JOIN requests r ON s.user_id = r.user_id AND s.site_id = r.site_id LEFT JOIN sites t ON t.site_id = r.site_id""")
+def subscribe_upsert(s):
+    requests = s.users.join(s.n_sites).select("user_id", F.expr("user_id % greatest(n, 1)").alias("site_id"), F.lit("mine").alias("alias"))
+    return W.subscribe(s.subscriptions, requests, s.sites, AS_OF).select("user_id", "site_id", "alias", F.col("registration_completed_at").isNotNull().alias("completed"))
+
+
+@query("hidden", "SELECT user_id, notice_id FROM hidden UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def hide_dedup(s):
+    rows = s.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("notice_id"))
+    return W.insert_new(s.hidden, rows, ["user_id", "notice_id"])
+
+
+@query("subscriptions", "SELECT user_id, site_id FROM subscriptions WHERE site_id % 3 <> 0")
+def unsubscribe(s):
+    return W.remove(s.subscriptions, s.sites.filter("site_id % 3 = 0").join(s.subscriptions.select("user_id", "site_id"), "site_id"), ["user_id", "site_id"]).select("user_id", "site_id")
+
+
+@query("folders", "SELECT folder_id, CASE WHEN user_id = 0 AND folder_id = 115 THEN 0 WHEN user_id = 0 AND folder_id = 103 THEN 1 WHEN user_id = 0 AND folder_id = 100 THEN 2 ELSE sort_order END AS sort_order FROM folders")
+def reorder_folders(s):
+    return W.reorder_folders(s.folders, 0, [115, 103, 100]).select("folder_id", F.col("sort_order").cast("int").alias("sort_order"))
+
+
+@query("folders", "SELECT folder_id FROM folders WHERE NOT (folder_id = 1 OR (parent_folder_id IS NOT NULL AND parent_folder_id = 1))")
+def delete_folder_cascade(s):
+    gone = s.spark.sql("SELECT 1 AS folder_id, 1 AS user_id UNION ALL SELECT 2, 0")
+    return W.delete_folders(s.folders, s.folder_notices, s.keywords, gone)["folders"].select("folder_id")
+
+
+@query("states", """, after AS (SELECT *, CASE WHEN api_id % 3 = 0 THEN 'failed' WHEN api_id % 3 = 1 THEN 'success' END AS now_status FROM states)
+  SELECT api_id, coalesce(now_status, processing_status) AS processing_status, CASE WHEN now_status = 'failed' THEN retry_count + 1 WHEN now_status IS NOT NULL THEN 0 ELSE retry_count END AS retry_count,
+  CAST(CASE WHEN now_status = 'failed' THEN TIMESTAMP '2024-01-20' + least(1440, 5 * CAST(power(2, least(retry_count, 8)) AS BIGINT)) * INTERVAL 1 MINUTE WHEN now_status IS NOT NULL THEN NULL ELSE next_retry_at END AS VARCHAR) AS next_retry_at,
+  CASE WHEN now_status = 'success' THEN observed_hash ELSE last_processed_hash END AS last_processed_hash FROM after""")
+def retry_backoff(s):
+    results = s.states.filter("api_id % 3 < 2").select("api_id", F.expr("CASE WHEN api_id % 3 = 0 THEN 'failed' ELSE 'success' END").alias("status"), "observed_hash")
+    return W.processing_results(s.states, results, AS_OF).select("api_id", "processing_status", F.col("retry_count").cast("bigint").alias("retry_count"), *text("next_retry_at"), "last_processed_hash")
+
+
+DECISION = """CASE WHEN observed_hash = last_processed_hash THEN 'unchanged' WHEN coalesce(processing_status, '') <> 'failed' THEN 'process' WHEN retry_count >= 3 THEN 'retry_exhausted'
+  WHEN next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '2024-01-20' THEN 'process' ELSE 'backoff' END"""
+
+
+@query("states", f"SELECT api_id, {DECISION} AS decision, CASE WHEN {DECISION} = 'unchanged' AND api_id % 4 < 2 THEN 'process' ELSE {DECISION} END AS upgraded FROM states")
+def observation_decision(s):
+    decision = D.observation(AS_OF)
+    return s.states.select("api_id", decision.alias("decision"), D.upgraded(decision, F.col("api_id") % 4, 2).alias("upgraded"))
+
+
+@query("deliveries", """SELECT delivery_id, CASE WHEN delivery_id % 4 = 1 THEN attempt_count + 1 ELSE attempt_count END AS attempt_count, CASE WHEN delivery_id % 4 = 1 THEN 'failed' ELSE status END AS status,
+  CAST(CASE WHEN delivery_id % 4 = 1 THEN TIMESTAMP '2024-01-20' + 60 * CAST(power(2, attempt_count) AS BIGINT) * INTERVAL 1 SECOND ELSE next_attempt_at END AS VARCHAR) AS next_attempt_at FROM deliveries""")
+def delivery_backoff(s):
+    failures = s.deliveries.filter("delivery_id % 4 = 1").select("delivery_id", F.lit("unreachable").alias("error"))
+    return W.failed_deliveries(s.deliveries, failures, AS_OF).select("delivery_id", F.col("attempt_count").cast("bigint").alias("attempt_count"), "status", *text("next_attempt_at"))
+
+
+@query("outbox", f", mine AS (SELECT event_id FROM outbox WHERE {PENDING} ORDER BY created_at, event_id LIMIT 100) SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM mine) THEN 'processing' ELSE status END AS status FROM outbox")
+def claim_events(s):
+    return W.claim_events(s.outbox, AS_OF).select("event_id", "status")
+
+
+@query("deliveries outbox", "SELECT delivery_id, CASE WHEN event_id IN (SELECT event_id FROM outbox WHERE status = 'failed') AND status <> 'sent' THEN 'cancelled' ELSE status END AS status FROM deliveries")
+def cancel_deliveries(s):
+    return W.cancel_events(s.outbox, s.deliveries, s.outbox.filter("status = 'failed'"), AS_OF)[1].select("delivery_id", "status")
+
+
+#: Observed records: some update by external id, some by detail url, the rest are new.
+RECORDS = """SELECT site_id, concat('again ', notice_id) AS title, author, url, CASE WHEN notice_id % 2 = 0 THEN external_id END AS external_id,
+  CASE WHEN notice_id % 5 < 3 THEN detail_url ELSE concat('https://new.example/', notice_id) END AS detail_url, published_at FROM {notices} WHERE notice_id % 10 = 4 OR notice_id % 10 = 1"""
+
+
+@query("notices", f""", records AS ({RECORDS.format(notices="notices")}), found AS (SELECT r.*, coalesce(a.notice_id, b.notice_id) AS hit FROM records r
+  LEFT JOIN notices a ON r.external_id IS NOT NULL AND a.site_id = r.site_id AND a.external_id = r.external_id LEFT JOIN notices b ON r.external_id IS NULL AND b.site_id = r.site_id AND b.detail_url = r.detail_url)
+  SELECT n.site_id, coalesce(f.title, n.title) AS title, coalesce(f.detail_url, n.detail_url) AS detail_url, n.external_id, CASE WHEN f.hit IS NOT NULL THEN false END AS inserted FROM notices n LEFT JOIN found f ON f.hit = n.notice_id
+  UNION ALL SELECT site_id, title, detail_url, external_id, true FROM found WHERE hit IS NULL""")
+def notice_identity_upsert(s):
+    records = s.spark.sql(RECORDS, notices=s.notices)
+    out = W.upsert_notices(s.notices, records, AS_OF, first_id=1_000_000_000)
+    return out.select("site_id", "title", "detail_url", "external_id", "inserted")
+
+
+@query("observations", """SELECT l_orderkey, l_linenumber, price, coalesce(external_id, detail_url, title) AS k FROM observations QUALIFY row_number() OVER (PARTITION BY l_orderkey, coalesce(external_id, detail_url, title) ORDER BY l_partkey, site_id, price) = 1""")
+def identity_dedup(s):
+    rows = s.observations.withColumn("url", F.lit("")).withColumn("_order", F.struct("l_partkey", "site_id", "price"))
+    # titles repeat with equal authors and dates only here, so the title stands for the content identity
+    rows = rows.withColumns({"author": F.lit(""), "published_at": F.lit(None).cast("timestamp_ntz")})
+    return W.first_of_identity(rows, ["l_orderkey"], "_order").select("l_orderkey", "l_linenumber", "price", F.coalesce("external_id", "detail_url", "title").alias("k"))
+
+
+@query("observations", "SELECT site_id * 10000000 + l_orderkey AS notice_id, count(*) AS records FROM observations GROUP BY 1 HAVING count(*) > 1")
+def identity_collisions(s):
+    return W.collisions(s.observations.select((F.col("site_id") * 10000000 + F.col("l_orderkey")).alias("notice_id")))
+
+
+NEW = "SELECT site_id, notice_id % 3 AS crawl_run_id, notice_id FROM {notices} WHERE created_at > TIMESTAMP '2001-06-01'"
+
+
+@query("notices subscriptions users outbox", f""", new_ AS ({NEW.format(notices="notices")}), ids AS (SELECT site_id, crawl_run_id, string_agg(CAST(notice_id AS VARCHAR), ',' ORDER BY notice_id) AS new_notice_ids, count(DISTINCT notice_id) AS new_notice_count FROM new_ GROUP BY 1, 2)
+  SELECT subscription_id, crawl_run_id, new_notice_ids, new_notice_count FROM ids JOIN subscriptions s USING (site_id) JOIN users u USING (user_id)
+  WHERE registration_completed_at IS NOT NULL AND notification_enabled AND is_notification_enabled AND NOT EXISTS (SELECT 1 FROM outbox o WHERE o.subscription_id = s.subscription_id AND o.crawl_run_id = ids.crawl_run_id)""")
+def event_fanout(s):
+    new = s.spark.sql(NEW, notices=s.notices)
+    rows = W.fan_out(new, s.subscriptions, s.users, s.tokens, s.outbox)[0]
+    return rows.select("subscription_id", "crawl_run_id", F.array_join(F.transform("new_notice_ids", lambda x: x.cast("string")), ",").alias("new_notice_ids"), F.col("new_notice_count").cast("bigint").alias("new_notice_count"))
+
+
+@query("notices subscriptions users tokens outbox", f""", new_ AS ({NEW.format(notices="notices")}) SELECT DISTINCT subscription_id, crawl_run_id, token_id FROM (SELECT DISTINCT site_id, crawl_run_id FROM new_) i JOIN subscriptions s USING (site_id) JOIN users u USING (user_id) JOIN tokens t USING (user_id)
+  WHERE registration_completed_at IS NOT NULL AND notification_enabled AND is_notification_enabled AND NOT EXISTS (SELECT 1 FROM outbox o WHERE o.subscription_id = s.subscription_id AND o.crawl_run_id = i.crawl_run_id)""")
+def delivery_fanout(s):
+    return W.fan_out(s.spark.sql(NEW, notices=s.notices), s.subscriptions, s.users, s.tokens, s.outbox)[1]
+
+
+@query("users subscriptions hidden", "SELECT 'subscriptions' AS name, count(*) AS n FROM subscriptions WHERE user_id % 10 <> 0 UNION ALL SELECT 'hidden', count(*) FROM hidden WHERE user_id % 10 <> 0 UNION ALL SELECT 'users', count(*) FROM users WHERE user_id % 10 <> 0")
+def cascade_delete_user(s):
+    left = W.delete_users(s.users, s.users.filter("user_id % 10 = 0"), {"subscriptions": s.subscriptions, "hidden": s.hidden})
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query("users", "SELECT user_id, CASE WHEN r.n > 0 THEN coalesce(max_sites_limit, 5) + r.n ELSE max_sites_limit END AS max_sites_limit FROM users LEFT JOIN (SELECT referrer_id, count(*) AS n FROM users WHERE referrer_id <> user_id GROUP BY 1) r ON r.referrer_id = user_id")
+def referral_credit(s):
+    return W.credit_referrals(s.users, s.users.select("referrer_id", F.col("user_id").alias("referee_id"))).select("user_id", F.col("max_sites_limit").cast("bigint").alias("max_sites_limit"))
+
+
+@query("subscriptions sites", "SELECT subscription_id, s.registration_completed_at IS NOT NULL OR coalesce(t.crawl_status, 'active') = 'active' AND t.site_id IS NOT NULL AS completed FROM subscriptions s LEFT JOIN sites t USING (site_id)")
+def baseline_backfill(s):
+    return W.open_baselines(s.subscriptions, s.sites, AS_OF).select("subscription_id", F.col("registration_completed_at").isNotNull().alias("completed"))
+
+
+@query("", "SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def text_hash(s):
+    return s.documents.select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("", "WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT a.doc_id, a.h = b.h AS same_as_before FROM h a JOIN h b ON b.doc_id = a.doc_id - 1")
+def content_hash_changes(s):
+    now = s.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    before = now.select((F.col("doc_id") + 1).alias("doc_id"), F.col("h").alias("b"))
+    return now.join(before, "doc_id").select("doc_id", (F.col("h") == F.col("b")).alias("same_as_before"))
+
+
+GATE = """, r AS (SELECT *, concat(kind, ':', identity) AS k FROM (SELECT site_id, detail_url, published_at, author, external_id, CASE WHEN external_id IS NOT NULL THEN 'e' WHEN detail_url IS NOT NULL THEN 'd' ELSE 'h' END AS kind,
+  coalesce(external_id, detail_url, concat(title, '|', coalesce(author, ''), '|', url, '|', coalesce(CAST(published_at AS VARCHAR), ''))) AS identity, is_active FROM notices)), got AS (SELECT site_id, count(*) AS extracted, count(*) - count(DISTINCT k) AS duplicates,
+  count(*) FILTER (WHERE detail_url IS NULL) AS bad_urls, count(*) FILTER (WHERE published_at IS NULL) AS bad_dates, avg(CASE WHEN author IS NULL THEN 0 ELSE 1 END) AS a, avg(CASE WHEN published_at IS NULL THEN 0 ELSE 1 END) AS p, avg(CASE WHEN detail_url IS NULL THEN 0 ELSE 1 END) AS d, avg(CASE WHEN external_id IS NULL THEN 0 ELSE 1 END) AS e FROM r WHERE is_active GROUP BY 1),
+  had AS (SELECT site_id, count(*) AS baseline, count(author) AS na, count(published_at) AS np, count(detail_url) AS nd, count(external_id) AS ne FROM r GROUP BY 1)
+  SELECT s.site_id, coalesce(extracted, 0) AS extracted, coalesce(duplicates, 0) AS duplicates, coalesce(bad_urls, 0) AS bad_urls, coalesce(bad_dates, 0) AS bad_dates, coalesce(baseline, 0) AS baseline,
+  concat_ws(',', CASE WHEN coalesce(extracted, 0) < 1 THEN 'NO_EXTRACTED_RECORDS' END, CASE WHEN bad_urls > 0.2 * extracted THEN 'INVALID_DETAIL_URLS' END, CASE WHEN bad_dates > 0.5 * extracted THEN 'INVALID_DATES' END, CASE WHEN duplicates > 0.2 * extracted THEN 'DUPLICATE_RECORDS' END,
+  CASE WHEN na >= 2 AND na >= 0.5 * baseline AND na / baseline - coalesce(a, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_AUTHOR' END, CASE WHEN np >= 2 AND np >= 0.5 * baseline AND np / baseline - coalesce(p, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_PUBLISHED_AT' END,
+  CASE WHEN nd >= 2 AND nd >= 0.5 * baseline AND nd / baseline - coalesce(d, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_DETAIL_URL' END, CASE WHEN ne >= 2 AND ne >= 0.5 * baseline AND ne / baseline - coalesce(e, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_EXTERNAL_ID' END) AS reasons
+  FROM sites s LEFT JOIN got USING (site_id) LEFT JOIN had USING (site_id)"""
+
+
+@query("notices sites", GATE)
+def hard_gate(s):
+    rows = W.identities(s.notices)
+    sources = s.sites.select("site_id", F.lit(0).alias("source_records"), F.lit(0).alias("rejected"), F.lit(0).alias("semantic_records"), F.lit(False).alias("failed"))
+    out = D.gate(rows.filter("is_active"), rows, sources, "site_id")
+    return out.select("site_id", "extracted", "duplicates", "bad_urls", "bad_dates", "baseline", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("observations", """, x AS (SELECT l_orderkey, l_linenumber, title, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, length(title) AS len,
+  CASE WHEN author IS NULL THEN 1 ELSE 0 END + CASE WHEN published_at IS NULL THEN 1 ELSE 0 END + CASE WHEN detail_url IS NULL THEN 1 ELSE 0 END + CASE WHEN external_id IS NULL THEN 1 ELSE 0 END AS missing
+  FROM (SELECT * FROM observations) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, site_id, price)),
+  y AS (SELECT *, first_value(i) OVER (PARTITION BY l_orderkey ORDER BY len DESC, i) AS a, first_value(i) OVER (PARTITION BY l_orderkey ORDER BY len, i) AS b, first_value(i) OVER (PARTITION BY l_orderkey ORDER BY missing DESC, i) AS c FROM x),
+  z AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN i = n - 1 THEN 1 WHEN i = n * 2 // 4 THEN 2 WHEN i = a THEN 3 WHEN i = b THEN 4 WHEN i = c THEN 5 WHEN i = n // 4 THEN 6 WHEN i = n * 3 // 4 THEN 7 END AS priority FROM y)
+  SELECT l_orderkey, l_linenumber, i, place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY priority) AS place FROM z WHERE priority IS NOT NULL) WHERE place <= 6""")
+def representative_sample(s):
+    rows = s.observations.withColumn("_order", F.struct("l_linenumber", "l_partkey", "site_id", "price"))
+    return D.representatives(rows, "l_orderkey", "_order").select("l_orderkey", "l_linenumber", F.col("i").cast("bigint").alias("i"), F.col("place").cast("bigint").alias("place"))
+
+
+@query("", """WITH a AS (SELECT DISTINCT source, lower(trim(substr(text, 1, 20))) AS t FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT DISTINCT source, lower(trim(substr(text, 1, 20))) AS t FROM documents WHERE doc_id % 3 <> 1)
+  SELECT coalesce(a.source, b.source) AS source, count(*) FILTER (WHERE a.t IS NOT NULL AND b.t IS NOT NULL) AS common, count(*) FILTER (WHERE b.t IS NULL) AS missing, count(*) FILTER (WHERE a.t IS NULL) AS extra FROM a FULL JOIN b ON a.source = b.source AND a.t = b.t GROUP BY 1""")
+def shadow_parity(s):
+    """Two extractions of the same pages: each lacks another third of the titles."""
+    rows = s.documents.select("doc_id", "source", F.substring("text", 1, 20).alias("title"))
+    return D.shadow_parity(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 <> 1"), "source")
+
+
+RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, length DESC, api_index) AS rank FROM (SELECT DISTINCT ON (target_id, api_index) * FROM candidates ORDER BY target_id, api_index, score, length))"
+
+
+def distinct_candidates(s):
+    return W.latest(s.candidates, ["target_id", "api_index"], F.col("score"), F.col("length"))
+
+
+@query("candidates", f"{RANKED} SELECT target_id, api_index, rank FROM ranked")
+def rank_candidates(s):
+    return D.ranked(distinct_candidates(s)).select("target_id", "api_index", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("candidates", f"""{RANKED}, p AS (SELECT *, CASE WHEN rank = min(rank) FILTER (WHERE is_exact_target) OVER w THEN 0 WHEN rank = min(rank) FILTER (WHERE has_repeated_records) OVER w THEN 1 WHEN rank = min(rank) FILTER (WHERE is_same_host AND NOT looks_like_non_content) OVER w THEN 2 ELSE 3 END AS priority
+  FROM ranked WINDOW w AS (PARTITION BY target_id)) SELECT target_id, api_index, rank FROM p QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY priority, rank) <= 4""")
+def diversity_pool(s):
+    return D.diverse_pool(distinct_candidates(s)).select("target_id", "api_index", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("candidates", f"""{RANKED}, g AS (SELECT target_id, count(*) AS n, bool_or(has_repeated_records) AS any_records, max(score) FILTER (WHERE rank = 2) AS second FROM ranked GROUP BY 1)
+  SELECT target_id, api_index, score, score - second AS gap, CASE WHEN looks_like_telemetry OR looks_like_non_content THEN 'reject_or_observe_more' WHEN n = 1 AND has_repeated_records AND score >= 12 THEN 'accept_rule' WHEN n = 1 AND has_repeated_records THEN 'defer_to_llm' WHEN n = 1 THEN 'reject_or_observe_more'
+  WHEN has_repeated_records AND score >= 22 AND score - second >= 6 THEN 'accept_rule' WHEN has_repeated_records AND has_title_key AND is_json_like AND has_list_key AND score - second >= 4 THEN 'accept_rule' WHEN any_records THEN 'defer_to_llm' ELSE 'reject_or_observe_more' END AS decision FROM ranked JOIN g USING (target_id) WHERE rank = 1""")
+def candidate_decision(s):
+    return D.choices(distinct_candidates(s))
+
+
+@query("runs", "SELECT site_id, CAST(sum(llm_input_tokens) AS BIGINT) AS input_tokens, CAST(sum(coalesce(llm_output_tokens, 0)) AS BIGINT) AS output_tokens, round(CAST(sum(llm_cost) AS DOUBLE), 4) AS cost, bool_or(coalesce(llm_output_tokens > 0, false)) AS llm_used FROM runs GROUP BY 1")
+def telemetry_rollup(s):
+    return D.telemetry(s.runs, "site_id")
+
+
+@query("", "SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) = lower(split_part(split_part('https://blog.tionsh.example.net/', '://', 2), '/', 1)) AS same FROM pages")
+def same_host(s):
+    host = F.lower(F.call_function("parse_url", F.col("url"), F.lit("HOST")))
+    return s.pages.select("page_id", (host == "blog.tionsh.example.net").alias("same"))
