@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records as J
+from ..functions import text as T
 from ..operators import decisions as D
 from ..operators import reads as R
 from ..operators import writes as W
@@ -471,3 +473,62 @@ def telemetry_rollup(s):
 def same_host(s):
     host = F.lower(F.call_function("parse_url", F.col("url"), F.lit("HOST")))
     return s.pages.select("page_id", (host == "blog.tionsh.example.net").alias("same"))
+
+
+@query()
+def canonical_url(s):
+    return s.pages.select("page_id", T.canonical_urls("url").alias("canonical"))
+
+
+@query()
+def redact_url(s):
+    return s.pages.select("page_id", T.redacted_urls("url").alias("redacted"))
+
+
+@query("", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || CASE WHEN rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') END AS plain FROM pages")
+def url_equality_key(s):
+    return s.pages.select("page_id", T.url_without_query(F.col("url")).alias("plain"))
+
+
+@query()
+def visible_text(s):
+    return J.visible_text(s.pages, "page_id", "html")
+
+
+@query()
+def html_profile(s):
+    return J.profile(s.pages, "page_id", "html")
+
+
+@query("", "SELECT event_id, props->>'$.k' AS k, CAST(NULL AS VARCHAR) AS title FROM events")
+def json_rule_extract(s):
+    return J.json_rule(s.events.select("event_id", "props"), "props", {"k": "$.k", "title": "$.items[0].title"}).select("event_id", "k", "title")
+
+
+EXTRACTED = """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS record_index, concat('Order ', o_orderkey) AS title, o_orderpriority AS author,
+  concat('https://shop.example/orders/', o_orderkey) AS detail_url, CAST(o_orderkey AS VARCHAR) AS external_id, strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m-%d') AS published_at FROM orders"""
+LATER = "o_orderdate + INTERVAL 10 YEARS"
+
+
+@query("", EXTRACTED)
+def json_extract(s):
+    """Records of JSON documents that hold each customer's orders."""
+    record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"), F.concat(F.lit("/orders/"), F.col("o_orderkey"), F.lit("?utm_source=x")).alias("viewUrl"))
+    docs = s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body")).withColumn("base", F.lit("https://shop.example/list"))
+    return J.extract(docs, "o_custkey", "body", "base").drop("url", "source_path")
+
+
+@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2"))
+def html_extract(s):
+    """Records of HTML documents that list each customer's orders between navigation and other blocks."""
+    row = F.format_string('<tr class="row" data-no="%d"><td><a href="/orders/%d#top">Order %d</a></td><td class="writer">%s</td><td><time datetime="%s">x</time></td></tr>', "o_orderkey", "o_orderkey", "o_orderkey", "o_orderpriority", F.date_format(F.expr(LATER), "yyyy-MM-dd"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("html")))), lambda x: x["html"])
+    page = F.concat(F.lit("<html><body><nav><ul><li><a href='/a'>Home page</a></li><li><a href='/b'>All of it</a></li><li><a href='/c'>More</a></li></ul></nav><div><p>Text<br>more</div><table>"), F.array_join(rows, ""), F.lit("</table></body>"))
+    docs = s.orders.groupBy("o_custkey").agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list"))
+    return J.extract(docs, "o_custkey", "body", "base").drop("url", "source_path")
+
+
+@query("", "SELECT event_id, CAST(CASE WHEN event_type = 'view' THEN date_trunc('hour', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 1 MINUTE) WHEN event_type = 'click' THEN date_trunc('hour', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 1 HOUR) WHEN event_type = 'error' THEN date_trunc('day', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 30 DAY) ELSE date_trunc('day', TIMESTAMP '2024-01-20 10:30:00') END AS VARCHAR) AS at FROM events")
+def relative_times(s):
+    shown = F.concat((F.col("event_id") % 50).cast("string"), F.when(F.col("event_type") == "view", "분 전").when(F.col("event_type") == "click", "시간 전").when(F.col("event_type") == "error", "개월 전"))
+    return s.events.select("event_id", T.relative_time(F.coalesce(shown, F.lit("")), W.instant("2024-01-20 10:30:00")).cast("string").alias("at"))
