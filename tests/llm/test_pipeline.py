@@ -23,12 +23,13 @@ def test_stages(spark):
         elif name == "near duplicates":
             assert now == {r.doc_id for r in neardup.near_duplicates(before).filter("kept").collect()}
         elif name == "repeated passages":
+            # a character that is cut in two goes with what was removed
             left = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.digests(before).collect()}
-            assert now == ids and all(0 <= left[r.doc_id] - len(r.text.encode()) <= 8 * 3 or left[r.doc_id] >= len(r.text.encode()) for r in docs.collect())
+            assert now == ids and all(len(r.text.encode()) <= left[r.doc_id] for r in docs.collect())
         elif name == "packing":
             assert now == ids
         else:
-            assert now < ids and len(now) > 0.5 * len(ids)
+            assert now <= ids and len(now) > 0.5 * len(ids)
 
 
 def test_run(spark):
