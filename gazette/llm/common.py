@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows of (id) that may be broadcast after they have been counted; more are joined by a shuffle.
@@ -103,4 +102,15 @@ def binary_text(batch, name: str = "text"):
     return values, offsets
 
 
-DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+def small_batches(batches, column: int = 1, limit: int = 2 << 20):
+    """The batches in slices of about limit bytes of the string column, so that a task holds few Python strings at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0)
+        part = np.cumsum(np.asarray(sizes), dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)

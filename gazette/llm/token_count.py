@@ -12,16 +12,19 @@ gives an empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
 #: A worker forgets the counts it has remembered when there are this many.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 #: Texts of these characters alone are split by SPLIT as by the library's own pattern.
 SAFE = re.compile("[\\x20-\\x7e\\nÀ-ÖØ-öø-ſ]*")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ſ]+|\\s+(?!\\S)|\\s+")
@@ -44,6 +47,7 @@ class Counts(dict):
     """Tokens of each piece that was met; learn() adds pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, max_tokens: int = MAX
         import pyarrow as pa
 
         known = counts(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             n = pa.array(known.count_all(batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["doc_id", "n_bytes", "n_tokens"])
 
