@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import candidates as C
 from ..functions import records as J
 from ..functions import text as T
+from ..functions.rules import JsonRule, execute
 from ..operators import decisions as D
 from ..operators import reads as R
 from ..operators import writes as W
@@ -532,3 +534,65 @@ def html_extract(s):
 def relative_times(s):
     shown = F.concat((F.col("event_id") % 50).cast("string"), F.when(F.col("event_type") == "view", "분 전").when(F.col("event_type") == "click", "시간 전").when(F.col("event_type") == "error", "개월 전"))
     return s.events.select("event_id", T.relative_time(F.coalesce(shown, F.lit("")), W.instant("2024-01-20 10:30:00")).cast("string").alias("at"))
+
+
+def order_documents(s):
+    """JSON documents that hold each customer's orders."""
+    record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order  "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"))
+    return s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body"))
+
+
+@query("", EXTRACTED.replace("o_custkey AS doc_id", "o_custkey AS doc_id").replace("concat('https://shop.example/orders/', o_orderkey)", "concat('https://shop.example/o/', replace(o_orderpriority, ' ', '%20'), '/', o_orderkey)"))
+def json_rule_execute(s):
+    rule = JsonRule("$.response.items", {"title": "$.title", "author": "$.writer", "external_id": "$.id", "published_at": "$.regDate"}, {"detail_url": ("/o/{kind}/{key}", {"kind": "$.writer", "key": "$.id"})})
+    return execute(order_documents(s), rule, "o_custkey", "body", "https://shop.example/list")
+
+
+@query("", """SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN starts_with(h, '{') THEN 'json_object' WHEN starts_with(h, '[') THEN 'json_array' WHEN starts_with(h, '<') THEN 'html' WHEN regexp_matches(h, '^[A-Za-z_$][0-9A-Za-z_.$]*[ \\t\\n]*\\(') THEN 'jsonp_wrapper'
+  WHEN contains(h, 'var ') OR contains(h, 'window.') THEN 'javascript_bridge' ELSE 'textual_other' END AS shape FROM (SELECT doc_id, text, trim(substr(text, 1, 120)) AS h FROM documents)""")
+def body_shapes(s):
+    return s.documents.select("doc_id", C.body_shape(F.col("text")).alias("shape"))
+
+
+@query("", "SELECT page_id, list_aggregate(list_filter(['title', 'subject', 'content', 'writer', 'regdate', 'date', 'posted', 'list', 'items', 'rows', 'total_count', 'count', 'notice', 'board', 'zz_title', 'zz_end_dt', 'zz_jo_num', 'article', 'post', 'job', 'recruit', 'apply', 'deadline'], lambda k: contains(lower(html), k))[1:10], 'string_agg', ',') AS hits FROM pages")
+def data_key_hits(s):
+    return s.pages.select("page_id", F.array_join(C.data_key_hits(F.col("html")), ",").alias("hits"))
+
+
+@query("", "SELECT page_id, CASE WHEN regexp_matches(lower(html), '^[ \\n]*<') THEN 'document_html' ELSE 'document_other' END AS kind FROM pages")
+def source_kinds(s):
+    shape, hits = C.body_shape(F.col("html")), C.data_key_hits(F.col("html"))
+    return s.pages.select("page_id", C.source_kind(F.col("url"), F.lit("document"), F.lit("GET"), F.lit(""), shape, hits, F.lit(False)).alias("kind"))
+
+
+@query("runs", "SELECT crawl_run_id, round((llm_input_tokens * 0.4 + coalesce(llm_output_tokens, 0) * 1.6) * 1350 / 1e6, 6) AS won FROM runs")
+def run_costs(s):
+    return s.runs.select("crawl_run_id", F.round(C.cost_in_won("openai", F.col("llm_input_tokens"), F.coalesce("llm_output_tokens", F.lit(0))), 6).alias("won"))
+
+
+@query()
+def informative_samples(s):
+    return s.pages.select("page_id", C.informative_sample(F.col("html")).alias("sample"))
+
+
+@query("", """SELECT p_partkey AS api_index, CASE p_size % 4 WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 24 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 8 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 8 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 30 + least(p_size, 10) WHEN p_size % 2 <> 0 THEN -8 ELSE 0 END
+  + CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 THEN -4 ELSE 0 END + CASE WHEN p_size % 4 = 1 AND p_size % 7 <> 0 THEN -6 ELSE 0 END + CASE WHEN p_size % 4 = 3 THEN -10 ELSE 0 END + CASE WHEN p_size % 6 = 0 AND p_size % 5 <> 0 THEN -12 ELSE 0 END + CASE WHEN p_size % 11 = 0 THEN -35 ELSE 0 END AS score FROM part""")
+def candidate_scores(s):
+    """The additive score of candidates whose features come from a part's size."""
+    size = F.col("p_size")
+    off = ["looks_like_static_asset", "looks_like_non_content", "resource_is_data_channel", "is_post", "is_json_like", "is_jsonp_like", "is_javascript_bridge", "has_callback_param", "legacy_endpoint_hint", "has_date_key", "has_total_count", "has_list_key", "sample_length_ok", "has_notice_terms"]
+    given = {"is_exact_target": size % 2 == 0, "is_same_host": size % 3 == 0, "has_title_key": size % 5 == 0, "has_repeated_records": size % 7 == 0, "semantic_record_count": size, "is_document_html": size % 4 == 1, "looks_like_telemetry": size % 11 == 0, "query_or_body_key_count": F.lit(0), "title_date_pair_count": F.lit(0)}
+    features = F.struct(*[F.lit(False).alias(c) for c in off], *[v.alias(k) for k, v in given.items()])
+    kind = F.when(size % 4 == 0, "graphql").when(size % 4 == 1, "document_html").when(size % 4 == 2, "xhr_other").otherwise("script_other")
+    url = F.when(size % 6 == 0, "https://a.example/x.bundle.js").otherwise("https://a.example/x")
+    rows = s.part.select("p_partkey", features.alias("f"), kind.alias("kind"), url.alias("url"))
+    return rows.select(F.col("p_partkey").alias("api_index"), D.score(F.col("f"), F.col("kind"), F.col("url")).alias("score"))
+
+
+@query("", """SELECT p_partkey AS id, concat_ws(',', CASE WHEN a >= 2 AND v = 0 THEN 'RECORD_EVIDENCE_LOST' END, CASE WHEN a >= 2 AND n = 0 THEN 'NAVIGATION_EVIDENCE_LOST' END, CASE WHEN a = 0 AND v = 0 AND e > 0 THEN 'EMBEDDED_DATA_NOT_EXPANDED' END,
+  CASE WHEN t AND (CASE WHEN a > 0 THEN least(1, greatest(0, (a - v) / a)) ELSE 0 END >= 0.5 OR (2 - n) / 2 >= 0.5 OR v = 0 AND FALSE) THEN 'VIEW_TRUNCATED' END) AS reasons FROM (SELECT p_partkey, p_size % 5 AS a, p_size % 3 AS v, p_size % 4 AS n, p_size % 2 AS e, p_size % 7 = 0 AS t FROM part)""")
+def source_view_checks(s):
+    size = F.col("p_size")
+    raw = F.struct((size % 5).alias("records"), F.lit(2).alias("navigation"), F.lit(3).alias("titles"), (size % 2).alias("embedded"))
+    view = F.struct((size % 3).alias("records"), (size % 4).alias("navigation"), F.lit(3).alias("titles"), F.lit(0).alias("embedded"))
+    return s.part.select(F.col("p_partkey").alias("id"), F.array_join(C.view_reasons(raw, view, size % 7 == 0), ",").alias("reasons"))
