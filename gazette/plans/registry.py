@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import candidates as C
+from ..functions import embedded as E
 from ..functions import records as J
+from ..functions import safety as S
 from ..functions import text as T
 from ..functions.rules import JsonRule, execute
 from ..operators import decisions as D
@@ -596,3 +598,31 @@ def source_view_checks(s):
     raw = F.struct((size % 5).alias("records"), F.lit(2).alias("navigation"), F.lit(3).alias("titles"), (size % 2).alias("embedded"))
     view = F.struct((size % 3).alias("records"), (size % 4).alias("navigation"), F.lit(3).alias("titles"), F.lit(0).alias("embedded"))
     return s.part.select(F.col("p_partkey").alias("id"), F.array_join(C.view_reasons(raw, view, size % 7 == 0), ",").alias("reasons"))
+
+
+@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2"))
+def embedded_extract(s):
+    """Records of HTML pages that carry each customer's orders as the state of a script."""
+    record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"), F.concat(F.lit("/orders/"), F.col("o_orderkey")).alias("url"))
+    docs = s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("list"))).alias("body"))
+    head = '<html><head><script type="application/ld+json">{"a": [{"title": "x"}, {"title": "y"}, {"title": "z"}]}</script></head><body>'
+    state = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("<script>window.__STATE__ = "), F.col("body"), F.lit("; go()</script>"))).otherwise(F.concat(F.lit('<script type="application/json" id="x">'), F.col("body"), F.lit("</script>")))
+    pages = docs.select("o_custkey", F.concat(F.lit(head), state).alias("html"), F.lit("https://shop.example/list").alias("base"))
+    return E.extract_embedded(pages, "o_custkey", "html", "base")
+
+
+@query("", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'PORT' WHEN 1 THEN 'USERINFO' WHEN 2 THEN 'ADDRESS' END AS refusal FROM pages")
+def url_refusals(s):
+    """Urls of the pages, three of four made unsafe."""
+    rest = F.regexp_replace("url", "^https?://[^/]*", "")
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    kind = F.col("page_id") % 4
+    url = F.when(kind == 0, F.concat(F.lit("https://"), host, F.lit(":8443"), rest)).when(kind == 1, F.concat(F.lit("https://u:p@"), host, rest)).when(kind == 2, F.concat(F.lit("http://10.0.0.7"), rest)).otherwise(F.col("url"))
+    return s.pages.select("page_id", S.refusals(url).alias("refusal"))
+
+
+@query("", """SELECT event_id, concat('{"token":"[REDACTED]","k":', props->>'$.k', ',"user":"u', user_id, '"}') AS redacted, concat('{"k":', props->>'$.k', '}') AS pruned FROM events""")
+def json_evidence(s):
+    body = F.concat(F.lit('{"token":"t'), F.col("event_id"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"user":"u'), F.col("user_id"), F.lit('"}'))
+    nulls = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"none":null}'))
+    return s.events.select("event_id", S.redacted_json(body).alias("redacted"), S.pruned_json(nulls).alias("pruned"))
