@@ -15,6 +15,7 @@ from ..functions import candidates as C
 from ..functions import embedded as E
 from ..functions import records as J
 from ..functions import safety as S
+from ..functions import structure as N
 from ..functions import text as T
 from ..functions.rules import JsonRule, execute
 from ..operators import decisions as D
@@ -626,3 +627,25 @@ def json_evidence(s):
     body = F.concat(F.lit('{"token":"t'), F.col("event_id"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"user":"u'), F.col("user_id"), F.lit('"}'))
     nulls = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"none":null}'))
     return s.events.select("event_id", S.redacted_json(body).alias("redacted"), S.pruned_json(nulls).alias("pruned"))
+
+
+@query()
+def structure_sample(s):
+    return N.structure_samples(s.pages, "page_id", "html")
+
+
+@query("", "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, concat('Order ', o_orderkey) AS label, concat('https://shop.example/view?id=', o_orderkey) AS target, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS argument FROM orders")
+def navigation_resolve(s):
+    """Links of pages that list each customer's orders: by a function, by an assignment or plainly."""
+    key = F.col("o_orderkey").cast("string")
+    label = F.concat(F.lit(">Order "), key, F.lit("</a></li>"))
+    row = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<li><a onclick=\"goView('"), key, F.lit("')\""), label))
+    row = row.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("<li><a onclick=\"location.href='/view?id=' + encodeURIComponent(this.dataset.key)\" data-key=\""), key, F.lit('"'), label)).otherwise(F.concat(F.lit('<li><a href="/view?id='), key, F.lit('&amp;utm_medium=x"'), label))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("html")))), lambda x: x["html"])
+    page = F.concat(F.lit("<script>function goView(id) { if (id) { track(id); } location.href = '/view?id=' + id; }</script><ul>"), F.array_join(rows, ""), F.lit("</ul>"))
+    return N.document_links(s.orders.groupBy("o_custkey").agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list")), "o_custkey", "body", "base")
+
+
+@query("", "SELECT DISTINCT p_brand, concat('item-', p_size) AS id FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1)")
+def volatile_html_ids(s):
+    return N.volatile_ids(s.part.select("p_brand", F.concat(F.lit("item-"), F.col("p_size")).alias("id")), "p_brand", "id")
