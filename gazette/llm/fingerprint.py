@@ -99,13 +99,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     keyed, repeats = keyed_documents(docs)
     near = neighbours(keyed)
-    # the same projection on both sides, so that its exchange is reused
-    texts = keyed.select("_k", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "_n").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")
+    # the same two columns on both sides, so that the exchange is reused
+    texts = keyed.select("_k", F.coalesce("text", F.lit("")).alias("text")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")
     given = texts.join(near, "_k").select(F.col("of").alias("_k"), F.substring(F.col("text"), F.lit(1), F.col("half").cast("int")).alias("_head"), vector(F.col("text")).alias("_next"))
     out = texts.join(given, "_k").withColumns({"n_chars": F.length("text").cast("bigint"), "_own": vector(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     out = out.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.col("_head")))
     out = out.withColumns({"_changed": vector(F.col("_edited")), "edited_sha256": F.sha2(F.col("_edited"), 256)}).drop("text", "_head", "_edited")
     out = with_likeness(with_likeness(out, "_own", "_changed", "near_edited"), "_own", "_next", "near_next")
-    out = out.select("doc_id", "n_chars", "edited_sha256", text_of(F.col("_own")).alias("fingerprint"), text_of(F.col("_changed")).alias("edited_fingerprint"), "near_edited", "near_next", "_n")
-    return repeat_rows(out) if repeats else out.drop("_n")
+    out = out.select(F.col("_k").alias("doc_id"), "n_chars", "edited_sha256", text_of(F.col("_own")).alias("fingerprint"), text_of(F.col("_changed")).alias("edited_fingerprint"), "near_edited", "near_next")
+    if not repeats:
+        return out
+    names = keyed.select(F.col("_k").alias("_id"), F.col("doc_id").alias("_name"), "_n")
+    return repeat_rows(out.join(names, F.col("doc_id") == F.col("_id")).withColumn("doc_id", F.col("_name")).drop("_id", "_name"))
