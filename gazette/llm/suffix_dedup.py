@@ -427,7 +427,8 @@ def with_ranges(keyed: DataFrame, size: int, gram: int) -> DataFrame:
     if size < gram or gram & (gram - 1):
         raise ValueError("gram must be a power of two, at most size")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    direct = keyed.select("_k", "text")
+    # the filter that an inner join adds stands here for the outer join too, so that both read one exchange
+    direct = keyed.select("_k", "text").filter("_k is not null")
     texts = direct.repartition(parts, "_k")
     return texts.join(removed_ranges(texts, direct, size, gram), "_k", "left").select("_k", "text", "removed")
 
