@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import binary_text, keyed_documents, repeat_rows, written
+from .common import binary_text, keyed_documents, repeat_rows, small_batches
 
 MIN_BYTES = 100
 GRAM = 32
@@ -41,7 +41,9 @@ RUN = 256
 #: Pieces of one gram that are compared in one task, at most.
 GROUP = 2000
 BWT_BYTES = 1 << 20
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
+#: Bytes of text of which a task holds the pieces at a time.
+SLICE_BYTES = 4 << 20
 
 REMOVED, COMPARE, SINGLE = 0, 1, 2
 
@@ -124,7 +126,7 @@ def find_pieces(size: int, gram: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, limit=SLICE_BYTES):
             ids = np.asarray(batch.column(0))
             values, offsets = binary_text(batch)
             found = []
@@ -213,7 +215,7 @@ def cut_bytes(size: int):
         import pyarrow as pa
 
         names = ["key", "doc", "start", "n", "bytes"]
-        for batch in batches:
+        for batch in small_batches(batches, limit=SLICE_BYTES):
             values, offsets = binary_text(batch)
             lists = batch.column(2)
             sizes = np.diff(np.asarray(lists.offsets))
