@@ -12,50 +12,65 @@ an empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import os
+import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_offsets, written
+from .common import add_offsets, small_batches, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 #: A worker forgets the encodings it has remembered when there are this many.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
-class Words(dict):
-    """Ids, as bytes of 16-bit integers, of what stands between ASCII white space; learn() adds some.
+#: Texts of these characters are split here as by the library's own pattern, once they are lower-cased.
+SAFE = re.compile("[\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in this kind of vocabulary: itself if it is shown, else the next free one."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    free = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
 
-    White space is dropped by this vocabulary's pre-tokenizer, and neither its normalizer nor its special strings reach
-    across it, so that the encoding of a text is that of its words in order.
-    """
+class Words(dict):
+    """Ids, as bytes of 16-bit integers, of the words met so far."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        self.letters = byte_letters()
 
-    def learn(self, new: set[bytes]) -> None:
-        import numpy as np
-
-        words = list(new)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(words, found, strict=True))
+    def learn(self, new: set[str]) -> None:
+        """Each new word goes to the library's merges, spelt in the vocabulary's letters."""
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        for word in new:
+            spelt = word if word.isascii() else "".join(letters[b] for b in word.encode())
+            self[word] = b"".join([t.id.to_bytes(2, "little") for t in merge(spelt)])
 
     def encode_all(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        cut = [x.encode().split() if x else [] for x in texts]
-        met = set().union(*cut)
+        """The texts' ids and end. Texts of other characters or with special strings go to the library as a whole."""
+        cut = [SPLIT.findall(x.lower()) if SAFE.fullmatch(x) and "<|" not in x else None for x in ((t or "") for t in texts)]
+        met = set().union(*filter(None, cut))
         if new := met - self.keys():
             if len(self) + len(new) > REMEMBERED:
                 self.clear()
                 new = met
             self.learn(new)
-        return [b"".join(map(self.__getitem__, c)) + end for c in cut]
+        odd = self.tokenizer.encode_batch_fast([x for x, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False)
+        odd = iter(odd)
+        return [b"".join(map(self.__getitem__, c) if c is not None else (i.to_bytes(2, "little") for i in next(odd).ids)) + end for c in cut]
 
 
 @functools.cache
@@ -72,7 +87,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         known, part, before = words(path), TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(2, "little")
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = known.encode_all(batch.column(1).to_pylist(), end)
             starts, sizes = [], []
             for x in ids:
