@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding, with the merges as a Spark expression.
 
-A block of documents (BLOCK_BYTES of text) becomes one row: its distinct words (matches of the pattern) and, for each
-document, the words' numbers. Spark higher-order functions then fold the ranked merges over each word's bytes: every step
+A block of documents (BLOCK_BYTES of text) becomes one row: the words (matches of the pattern) that its task hasn't met
+before and, for each document, its words' numbers. Spark higher-order functions then fold the ranked merges over each word's bytes: every step
 looks up the ranks of all neighbouring pieces in a literal rank map and joins the first pair of the lowest rank. The
 blocks are put together again from the words' ids, and decoding concatenates the pieces that the ids stand for. Nothing
-is shuffled, and no word is merged twice in a block.
+is shuffled, and a task merges a word once.
 
-The rank map is an array of small maps, chosen by a crc32 of the piece, as a lookup in a Spark map reads all of it. Bytes
-are handled as the 256 characters of ISO-8859-1. Words of more than LONG_WORD bytes would need quadratic work in the fold;
+The rank map is a literal of two arrays, indexed by the pair of neighbouring ids modulo their lengths, as a lookup in a
+Spark map reads all of it. In decoding, bytes are handled as the 256 characters of ISO-8859-1. Words of more than LONG_WORD bytes would need quadratic work in the fold;
 they are merged in the task by a heap of neighbouring pairs.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to an empty text. Rows are encoded one by one, repeated
@@ -20,33 +20,76 @@ import base64
 import functools
 import heapq
 import json
-import zlib
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .token_count import SAFE, SPLIT, pieces
+from .token_count import SAFE, SPLIT
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Distinct words that a task numbers before it starts again.
+WORDS = 1_000_000
 LONG_WORD = 48
-BUCKETS = 1 << 15
+#: What the lookup gives for two pieces that can't be joined.
+NO_ID = 1 << 16
 
 
+@functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: an array of BUCKETS maps from a piece, as ISO-8859-1 text, to its rank."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left id << 16 | right id -> id, for every way to put a piece together from two others."""
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids of more than 16 bits")
+    found = {}
     for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                found[left << 16 | right] = rank
+    return found
+
+
+def two_tables(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Cuckoo hashing: a key is in the first table at key % its length, or in the second. An entry is key << 16 | id, or 0."""
+    size = max(64, 2 * len(pairs))
+    while True:
+        tables = [0] * (size | 1), [0] * ((size | 1) + 2)
+        for key, rank in pairs.items():
+            entry, side = key << 16 | rank, 0
+            for _ in range(500):
+                at = (entry >> 16) % len(tables[side])
+                entry, tables[side][at] = tables[side][at], entry
+                if not entry:
+                    break
+                side = 1 - side
+            if entry:
+                break
+        else:
+            return tables
+        size = size * 5 // 4
+
+
+class RankMap:
+    """The literal rank map as two arrays, and the lookups of a pair of neighbours in them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tables = two_tables(pair_table(ranks))
+        self.sizes = [len(t) for t in tables]
+        self.tables = [F.from_json(F.lit(json.dumps(t)), "array<bigint>") for t in tables]
+
+    def id_of(self, key: Column) -> Column:
+        """The id of a joined pair, NO_ID where it can't be joined."""
+        first, second = (F.get(t, key % n) for t, n in zip(self.tables, self.sizes, strict=True))
+        same = lambda e: F.shiftright(e, 16) == key
+        low = lambda e: e.bitwiseAND(0xFFFF)
+        return F.when(same(first), low(first)).when(same(second), low(second)).otherwise(F.lit(NO_ID))
 
 
 def bind(value: Column, body) -> Column:
@@ -54,23 +97,24 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of a word given as ISO-8859-1 text."""
-    rank = lambda piece: F.try_element_at(F.get(ranks, F.crc32(piece.cast("binary")) % BUCKETS), piece)
+def fold_merges(word: Column, ranks: RankMap) -> Column:
+    """The ids of a word, given as the ids of its bytes (an array of bigint)."""
 
-    def merge(p: Column, near: Column, low: Column) -> Column:
-        at = F.array_position(near, low).cast("int")
-        return F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
+    def near(p: Column) -> Column:
+        keys = F.transform(p, lambda x, i: F.shiftleft(x, 16).bitwiseOR(F.get(p, i + 1)))
+        return F.transform(keys, ranks.id_of)
 
     def step(state: Column) -> Column:
-        p = state["p"]
-        near = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
-        merged = bind(near, lambda n: bind(F.array_min(n), lambda low: F.struct(F.when(low.isNull(), p).otherwise(merge(p, n, low)).alias("p"), low.isNull().alias("done"))))
-        return F.when(state["done"] | (F.size(p) < 2), state).otherwise(merged)
+        p, found = state["p"], state["near"]
+        low = F.array_min(found)
+        at = F.array_position(found, low).cast("int")
+        joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
+        return F.when(low == NO_ID, state).otherwise(bind(joined, lambda q: F.struct(q.alias("p"), near(q).alias("near"))))
 
-    start = F.struct(F.split(word, "").alias("p"), F.lit(False).alias("done"))
-    state = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda acc, _: step(acc))
-    return F.transform(state["p"], rank)
+    # an empty word has no lowest rank: its state is null
+    start = F.struct(word.alias("p"), near(word).alias("near"))
+    state = F.aggregate(word, start, lambda acc, _: step(acc))
+    return F.when(F.size(word) > 0, state["p"]).otherwise(word)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -96,11 +140,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 BLOCK = T.StructType([
     T.StructField("doc_ids", T.ArrayType(T.LongType())),
     T.StructField("spans", T.BinaryType()),  # int64 ends of the documents in codes
-    T.StructField("codes", T.BinaryType()),  # int32 numbers of chunks
-    T.StructField("chunk_ends", T.BinaryType()),  # int64 ends of the chunks in chunk_words
-    T.StructField("chunk_words", T.BinaryType()),  # int32 numbers of words
-    T.StructField("words", T.ArrayType(T.StringType())),
-    T.StructField("long_words", T.ArrayType(T.ArrayType(T.IntegerType()))),  # ids, numbered from -1 down
+    T.StructField("codes", T.BinaryType()),  # int32 numbers of words
+    T.StructField("first", T.IntegerType()),  # the number of the first new word; 0 where numbering starts again
+    T.StructField("words", T.ArrayType(T.ArrayType(T.LongType()))),  # the new words, as the ids of their bytes
+    T.StructField("long_words", T.ArrayType(T.ArrayType(T.LongType()))),  # the ids of those that are too long for the fold, else null
 ])
 
 
@@ -111,120 +154,127 @@ def splitter(pattern: str):
     return regex.compile(pattern).findall
 
 
-@functools.cache
-def ranks_of(path: str) -> dict[bytes, int]:
-    return read_ranks(path)
-
-
-class Block:
-    """Documents and their distinct chunks (text between white space, if it is plain) and words."""
+class Blocks:
+    """Blocks of documents as numbers of words. Words are numbered anew after WORDS of them."""
 
     def __init__(self, path: str, pattern: str):
-        self.path, self.pattern = path, pattern
-        self.doc_ids, self.ends, self.codes, self.bytes = [], [], [], 0
-        self.chunks: dict[str, int] = {}
-        self.chunk_ends, self.chunk_words = [], []
-        self.words: dict[str, int] = {}
-        self.long: dict[str, int] = {}
+        import numpy as np
 
-    def number(self, word: str) -> int:
-        table = self.long if len(word) > LONG_WORD // 4 and len(word.encode()) > LONG_WORD else self.words
-        return table.setdefault(word, len(table)) if table is self.words else -1 - table.setdefault(word, len(table))
+        self.ranks, self.any_split, self.own = read_ranks(path), splitter(pattern), pattern == public_tokenizers.PATTERN
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.words: dict[str, int] = {}
+        self.start()
 
-    def chunk(self, piece: str, text: str, whole: bool) -> int:
-        code = len(self.chunks)
-        self.chunks[piece] = code
-        found = SPLIT.findall(text) if whole and SAFE.fullmatch(text) else splitter(self.pattern)(text)
-        self.chunk_words.extend(map(self.number, found))
-        self.chunk_ends.append(len(self.chunk_words))
-        return code
+    def start(self) -> None:
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        self.doc_ids, self.codes, self.bytes, self.first = [], [], 0, len(self.words)
 
     def add(self, doc_id: int | None, text: str) -> None:
-        known, cut = self.chunks, pieces(text) if text and self.pattern == public_tokenizers.PATTERN else None
-        if cut is None:
-            words = splitter(self.pattern)(text)
-            codes = [known[k] if (k := ("", w)) in known else self.chunk(k, w, False) for w in words]
-        else:
-            first = ("first", cut[0])  # a piece without white space before it
-            codes = [known[first] if first in known else self.chunk(first, cut[0][1:], True)] if cut[0] != "\n" else []
-            codes += [known[p] if p in known else self.chunk(p, p if p[:1] == "\n" else " " + p, True) for p in cut[1:]]
-        self.codes.append(codes)
-        self.ends.append(len(codes))
+        import numpy as np
+
+        found = SPLIT.findall(text) if self.own and SAFE.fullmatch(text) else self.any_split(text)
+        known = self.words
+        self.codes.append(np.array([known[w] if w in known else known.setdefault(w, len(known)) for w in found], np.int32))
         self.doc_ids.append(doc_id)
         self.bytes += len(text)
 
     def batch(self):
+        import itertools
+
         import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        ranks = ranks_of(self.path) if self.long else {}
-        pack = lambda x, kind: np.asarray(x, kind).tobytes()
-        row = {
-            "doc_ids": self.doc_ids, "spans": pack(np.cumsum(self.ends), "<i8"), "codes": b"".join(pack(c, "<i4") for c in self.codes),
-            "chunk_ends": pack(self.chunk_ends, "<i8"), "chunk_words": pack(self.chunk_words, "<i4"),
-            "words": [w.encode().decode("latin-1") for w in self.words], "long_words": [merge_long(w.encode(), ranks) for w in self.long],
-        }
-        return pa.RecordBatch.from_pylist([row], to_arrow_schema(BLOCK))
+        new = [w.encode() for w in itertools.islice(self.words, self.first, None)]
+        longs = [merge_long(w, self.ranks) if len(w) > LONG_WORD else None for w in new]
+        short = [b"" if x else w for w, x in zip(new, longs, strict=True)]
+        schema = to_arrow_schema(BLOCK)
+        one = [[self.doc_ids], [np.cumsum([len(c) for c in self.codes], dtype=np.int64).tobytes()], [b"".join(c.tobytes() for c in self.codes)], [self.first]]
+        columns = [pa.array(x, f.type) for x, f in zip(one, schema, strict=False)]
+        # the words' bytes as one array, for which lists of lists would be slow
+        bytes_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, short)]).astype(np.int32)), pa.array(self.single[np.frombuffer(b"".join(short), np.uint8)]))
+        for lists, name in ((bytes_, "words"), (pa.array(longs, pa.list_(pa.int64())), "long_words")):
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), lists).cast(schema.field(name).type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+class Encodings:
+    """The ids of the words met so far, put together to the documents'."""
 
+    def __init__(self):
+        self.reset()
 
-def gather(ends, values, index):
-    """(values, ends) of the lists at index, one after another; list i is values[ends[i - 1]:ends[i]]."""
-    import numpy as np
+    def reset(self) -> None:
+        import numpy as np
+
+        self.starts, self.sizes, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, folded, longs) -> None:
+        """Arrow lists of ids; where longs isn't null it has the word's."""
+        import numpy as np
+
+        for lists in (folded, longs):
+            sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            starts = len(self.values) + np.cumsum(sizes) - sizes
+            self.values = np.concatenate([self.values, np.asarray(lists.flatten()).astype(np.int32)])
+            if lists is folded:
+                at = len(self.starts)
+                self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+            else:
+                given = np.flatnonzero(sizes)
+                self.starts[at + given], self.sizes[at + given] = starts[given], sizes[given]
+
+    def ids(self, codes):
+        """(ids of the words one after another, and where each word's end)."""
+        import numpy as np
 
-    starts = np.concatenate([[0], ends[:-1]])
-    sizes = (ends - starts)[index]
-    out_ends = np.cumsum(sizes)
-    at = np.arange(out_ends[-1] if len(out_ends) else 0) + np.repeat(starts[index] - (out_ends - sizes), sizes)
-    return values[at], out_ends
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - sizes), sizes)
+        return self.values[at], ends
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids (array of int) and ids_bytes (little-endian unsigned 32-bit) of each row."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def gather_words(batches):
-        current = Block(path, pattern)
+    def number_words(batches):
+        blocks = Blocks(path, pattern)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                current.add(doc_id, text.as_py() or "")
-                if current.bytes >= block:
-                    yield current.batch()
-                    current = Block(path, pattern)
-        if current.doc_ids:
-            yield current.batch()
+                blocks.add(doc_id, text.as_py() or "")
+                if blocks.bytes >= block:
+                    yield blocks.batch()
+                    blocks.start()
+        if blocks.doc_ids:
+            yield blocks.batch()
 
     def put_together(batches):
         import numpy as np
         import pyarrow as pa
 
+        known = Encodings()
         for rows in batches:
             for row in range(rows.num_rows):
-                one = rows.slice(row, 1)
-                get = lambda name, kind=None, one=one: one.column(one.schema.get_field_index(name))[0] if kind is None else np.frombuffer(one.column(one.schema.get_field_index(name))[0].as_py(), kind)
-                lists, longs = get("word_ids").values, get("long_words").values
-                sizes = np.concatenate([np.diff(np.asarray(x.offsets)) for x in (lists, longs)]).astype(np.int64)
-                values = np.concatenate([np.asarray(x.flatten()) for x in (lists, longs)]).astype(np.uint32)
-                words = get("chunk_words", "<i4").astype(np.int64)
-                words = np.where(words < 0, len(lists) - 1 - words, words)
-                chunk_values, chunk_ends = gather(np.cumsum(sizes), values, words)
-                # a chunk's ids end where its last word's do
-                ends = get("chunk_ends", "<i8")
-                chunk_ends = np.concatenate([[0], chunk_ends])[ends]
-                ids, code_ends = gather(chunk_ends, chunk_values, get("codes", "<i4").astype(np.int64))
-                doc_ends = np.concatenate([[0], code_ends])[get("spans", "<i8")]
-                doc_starts = np.concatenate([[0], doc_ends[:-1]])
-                data = ids.astype("<u4")
-                array = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], doc_ends]), pa.int32()), pa.array(ids.astype(np.int32)))
-                blobs = pa.array([data[a:b].tobytes() for a, b in zip(doc_starts, doc_ends, strict=True)], pa.binary())
-                table = pa.RecordBatch.from_arrays([get("doc_ids").values, array, blobs], ["doc_id", "ids", "ids_bytes"])
-                for a in range(0, table.num_rows, 1000):
-                    yield table.slice(a, 1000)
+                one = {n: rows.column(i)[row] for i, n in enumerate(rows.schema.names)}
+                if not one["first"].as_py():
+                    known.reset()
+                known.learn(one["word_ids"].values, one["long_words"].values)
+                ids, word_ends = known.ids(np.frombuffer(one["codes"].as_buffer(), np.int32))
+                ends = np.concatenate([[0], np.concatenate([[0], word_ends])[np.frombuffer(one["spans"].as_buffer(), np.int64)]])
+                doc_ids = one["doc_ids"].values
+                for a in range(0, len(doc_ids), 500):
+                    cut = ends[a : a + 501]
+                    some = ids[cut[0] : cut[-1]]
+                    lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(some))
+                    blobs = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * 4).astype(np.int32)), pa.py_buffer(some.astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays([doc_ids[a : a + 500], lists, blobs], ["doc_id", "ids", "ids_bytes"])
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = base.mapInArrow(gather_words, BLOCK)
-    ranks = rank_map(read_ranks(path))
-    blocks = blocks.select("doc_ids", "spans", "codes", "chunk_ends", "chunk_words", "long_words", F.transform("words", lambda w: fold_merges(w, ranks)).alias("word_ids"))
+    blocks = base.mapInArrow(number_words, BLOCK)
+    ranks = RankMap(read_ranks(path))
+    blocks = blocks.select("doc_ids", "spans", "codes", "first", "long_words", F.transform("words", lambda w: fold_merges(w, ranks)).alias("word_ids"))
     return blocks.mapInArrow(put_together, "doc_id bigint, ids array<int>, ids_bytes binary")
 
 
