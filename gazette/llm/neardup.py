@@ -26,6 +26,8 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,9 @@ FAN = 1024
 WANTED = 300_000
 #: Rounds of confirmation. All but the last take one candidate of each document, the last all that are left.
 ROUNDS = 3
-#: Others that a document without a link is compared with in each bucket, the second time.
-REACH = 4
+#: The second look: rows of one shingle that meet in a task, 64-bit words of a set's bitmap, slots in which the shingles of
+#: about SAMPLE documents are counted, and crowded buckets whose keys are broadcast.
+BLOCK, WORDS, SLOTS, SAMPLE, CROWDED = 1000, 8, 1 << 18, 20_000, 300_000
 PART_BYTES = 2 << 20
 SEED = 7
 
@@ -110,19 +113,19 @@ def random_rank(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return hashing.mix(key.view(np.uint64) * np.uint64(3) + doc.astype(np.uint64)).view(np.int64)
 
 
-def pairs_of(key: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray, reach: int):
+def pairs_of(key: np.ndarray, n: np.ndarray, doc: np.ndarray):
     """Distinct (child, parent) with their counts, as columns, of rows sorted by key and rank.
 
-    A row is compared with its parent in the tree of FAN branches over its key's rows, and with the reach rows before it,
-    if they are of other groups and their set sizes allow the similarity.
+    A row is compared with its parent in the tree of FAN branches over its key's rows, and with the row before it, if their
+    set sizes allow the similarity.
     """
     at = np.arange(len(key))
     start = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
     both = []
-    for other in (start + (at - start - 1) // FAN, *(at - d for d in range(1, reach + 1))):
+    for other in (start + (at - start - 1) // FAN, at - 1):
         one = np.flatnonzero((other >= start) & (at > start))
         two = other[one]
-        fit = (group[one] != group[two]) & (PERCENT * np.maximum(n[one], n[two]) <= 100 * np.minimum(n[one], n[two]))
+        fit = (doc[one] != doc[two]) & (PERCENT * np.maximum(n[one], n[two]) <= 100 * np.minimum(n[one], n[two]))
         both.append(np.stack([doc[one[fit]], doc[two[fit]]], 1))
     both = np.concatenate(both)
     both.sort(axis=1)
@@ -130,39 +133,32 @@ def pairs_of(key: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray,
     return found[:, 1], found[:, 0], count
 
 
-def candidates(reps: DataFrame, again: bool = False) -> DataFrame:
-    """(child, parent, met): candidate pairs, and how often each was met.
+def bucket_keys(items: np.ndarray) -> np.ndarray:
+    """The keys of each document's ITEMS^2 buckets, in turn."""
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(ITEMS), np.arange(ITEMS), indexing="ij"))
+    table = hashing.mix((np.arange(ITEMS * ITEMS) + 1).astype(np.uint64))
+    return hashing.mix(items[:, i] * np.uint64(5) + hashing.mix(items[:, ITEMS + j]) + table).ravel().view(np.int64)
 
-    The second time, reps have their component in the column group: only pairs of different groups are met, each document
-    with REACH others in every bucket, in an order of the bucket's own.
-    """
-    reach = REACH if again else 1
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(child, parent, met): candidate pairs of the first look, and how often each was met."""
 
     def form(batches):
         import pyarrow as pa
 
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(ITEMS), np.arange(ITEMS), indexing="ij"))
-        table = hashing.mix((np.arange(ITEMS * ITEMS) + 1).astype(np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            items = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS)
-            key = hashing.mix(items[:, i] * np.uint64(5) + hashing.mix(items[:, ITEMS + j]) + table).ravel().view(np.int64)
-            doc, n, group = (np.repeat(np.asarray(batch.column(c)).astype(np.int64), ITEMS * ITEMS) for c in range(3))
-            # first an order for each item of the first collection: a document meets other ones for each of them
-            rank = random_rank(key if again else np.tile(i, batch.num_rows), doc)
+            key = bucket_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS))
+            doc, n = (np.repeat(np.asarray(batch.column(c)).astype(np.int64), ITEMS * ITEMS) for c in range(2))
+            # an order for each item of the first collection: a document meets other ones for each of them
+            rank = random_rank(np.tile(np.repeat(np.arange(ITEMS), ITEMS), batch.num_rows), doc)
             order = np.lexsort((rank, key))
-            key, rank, doc, n, group = (c[order] for c in (key, rank, doc, n, group))
-            child, parent, met = pairs_of(key, n, doc, group, reach)
-            if again:  # the first of each group goes on, else the first of all
-                order = np.lexsort((group, key))
-                first = np.zeros(len(key), bool)
-                first[order] = np.append(True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1]))
-            else:
-                first = np.append(True, key[1:] != key[:-1])
+            key, rank, doc, n = (c[order] for c in (key, rank, doc, n))
+            child, parent, met = pairs_of(key, n, doc)
+            first = np.append(True, key[1:] != key[:-1])
             spread = random_rank(child, parent)
             cols = [(key[first], spread), (rank[first], spread), (n[first], met), (doc[first], child), (np.full(first.sum(), -1), parent)]
-            cols += [(group[first], parent)] if again else []
             out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
             for a in range(0, out.num_rows, 100_000):
                 yield out.slice(a, 100_000)
@@ -170,22 +166,22 @@ def candidates(reps: DataFrame, again: bool = False) -> DataFrame:
     def meet(batches):
         import pyarrow as pa
 
-        held = None  # the first and last rows of the key that the last batch ended in
+        held = None  # the first and last row of the key that the last batch ended in
         for batch in batches:
-            key, _, n, doc, parent, *group = (np.asarray(c) for c in batch.columns)
+            key, _, n, doc, parent = (np.asarray(c) for c in batch.columns)
             pair = parent >= 0
             out = [(doc[pair], parent[pair], n[pair])]
-            cols = [c[~pair] for c in (key, n, doc, group[0] if again else doc)]
+            cols = [c[~pair] for c in (key, n, doc)]
             if len(cols[0]):
                 if held is not None and held[0][0] == cols[0][0]:
                     cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-                out.append(pairs_of(*cols, reach))
+                out.append(pairs_of(*cols))
                 first, size = int(np.searchsorted(cols[0], cols[0][-1])), len(cols[0])
-                held = [c[sorted({first, *range(max(first, size - reach), size)})] for c in cols]
+                held = [c[sorted({first, size - 1})] for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["child", "parent", "met"])
 
-    names = ["key", "rank", "n", "doc", "parent"] + ["group"] * again
-    rows = reps.select("_k", "n", F.col("group" if again else "_k").alias("group"), "items").mapInArrow(form, ", ".join(f"{n} bigint" for n in names))
+    names = ["key", "rank", "n", "doc", "parent"]
+    rows = reps.select("_k", "n", "items").mapInArrow(form, ", ".join(f"{n} bigint" for n in names))
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("key", "rank")
     pairs = rows.mapInArrow(meet, "child bigint, parent bigint, met bigint")
@@ -256,6 +252,152 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return both.filter("c_child <> c_parent")
 
 
+def unsettled(some: DataFrame) -> DataFrame:
+    """(_k): the documents of (_k, group, items) that share a bucket with a document of another group.
+
+    All documents of all buckets count, whether or not a pair of them was compared.
+    """
+
+    def form(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                key = bucket_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS))
+                out = pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(np.asarray(batch.column(c)), ITEMS * ITEMS)) for c in range(2))], ["key", "_k", "group"])
+                for a in range(0, out.num_rows, 100_000):
+                    yield out.slice(a, 100_000)
+
+    rows = some.select("_k", "group", "items").mapInArrow(form, "key bigint, _k bigint, group bigint")
+    crowded = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b").select("key")
+    return rows.join(few(written(crowded, "crowded"), CROWDED), "key", "left_semi").select("_k").distinct()
+
+
+def shingle_slots(texts: DataFrame, share: int) -> np.ndarray:
+    """How often the shingles of each of SLOTS slots occur in one of share documents; this only orders the shingles."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(*binary_text(batch)):
+                np.add.at(total, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "c"])
+
+    rows = texts.filter(F.pmod(F.xxhash64("_k"), F.lit(share)) == 0).select("_k", "text").mapInArrow(count, "slot bigint, c bigint")
+    found = rows.groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(SLOTS, np.uint32)
+    out[np.asarray(found["slot"])] = np.minimum(np.asarray(found["c"]), (1 << 32) - 1)
+    return out
+
+
+def prefixes(texts: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(_k, n, bits, rare): set size, the parities of WORDS * 64 shares of the set, and its rarest shingles in turn.
+
+    Two sets of similarity PERCENT share one of their n - ceil(n * PERCENT / 100) + 1 rarest shingles, in any order that holds
+    for all sets.
+    """
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ns, bits, rare = [], [], []
+            for s in shingle_sets(*binary_text(batch)):
+                odd = np.bincount((hashing.mix(s) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
+                ns.append(len(s))
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                order = np.lexsort((s, slots[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                rare.append(s[order[: len(s) + (-PERCENT * len(s)) // 100 + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(rare, pa.binary())], ["_k", "n", "bits", "rare"])
+
+    return texts.select("_k", "text").mapInArrow(scan, "_k bigint, n int, bits binary, rare binary")
+
+
+def fitting_pairs(key: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray, place: np.ndarray, side: np.ndarray, bits: np.ndarray):
+    """(i, j, distance) of the rows, sorted by key and n, of one key and of other groups that can be similar enough.
+
+    Refused are only pairs whose set sizes, places of the shingle or bitmaps exclude the similarity. The distance is the
+    bitmaps', over the sum of the sizes.
+    """
+    found, i, d = [], np.arange(len(key)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[(key[i] == key[i + d]) & (PERCENT * n[i + d] <= 100 * n[i])]
+        j = i + d
+        least = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))  # shingles that both must hold
+        fit = (group[i] != group[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+        a, b, least = i[fit], j[fit], least[fit]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        fit = apart <= n[a] + n[b] - 2 * least
+        found.append((a[fit], b[fit], apart[fit] / (n[a] + n[b])[fit]))
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+
+
+def rare_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """(child, parent) of members (prefixes with a group) of other groups that share a rare shingle and can be similar enough.
+
+    Every such pair, or else the nearest one of each two groups. A shingle of more than BLOCK rows is dealt in blocks, and
+    each two blocks meet in a task of their own.
+    """
+
+    def rows_of(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rare = [np.frombuffer(b, np.int64) for b in batch.column(4).to_pylist()]
+            cuts = np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int64)
+            for first, last in hashing.parts(cuts, 50_000):
+                size = np.diff(cuts[first : last + 1])
+                again = np.repeat(np.arange(first, last), size)
+                place = np.arange(cuts[first], cuts[last]) - cuts[again]
+                cols = [pa.array(np.concatenate(rare[first:last])), *(batch.column(c).take(pa.array(again)) for c in range(4)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "doc", "n", "group", "bits", "place"])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        held = None  # the rows of the key that the last batch ended in
+        for batch in itertools.chain(batches, [None]):
+            cols = held
+            if batch is not None:
+                cols = [*(np.asarray(batch.column(c)).astype(np.int64) for c in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                if held is not None:
+                    cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if cols is None or not len(cols[0]):
+                continue
+            end = int(np.searchsorted(cols[0], cols[0][-1])) if batch is not None else len(cols[0])
+            held, cols = [c[end:] for c in cols], [c[:end] for c in cols]
+            i, j, apart = fitting_pairs(*cols)
+            doc, group = cols[2], cols[3]
+            low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+            child, parent = np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])
+            one, two = (child, parent) if every else (low, high)
+            order = np.lexsort((parent, child, apart, two, one))
+            one, two = one[order], two[order]
+            keep = order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(order)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (child, parent, low, high, apart.astype(float))], ["child", "parent", "low", "high", "apart"])
+
+    rows = members.select("_k", "n", "group", "bits", "rare").mapInArrow(rows_of, "key bigint, doc bigint, n int, group bigint, bits binary, place int")
+    hot = written(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot")
+    names = ["key", "n", "doc", "group", "place", "side", "bits"]
+    if hot.isEmpty():
+        rows = rows.withColumn("side", F.lit(-1)).select(names)
+    else:
+        rows = rows.join(few(hot, CROWDED), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+        rows = rows.withColumn("x", F.pmod(F.xxhash64("doc", "key"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        rows = rows.withColumn("side", F.when(F.col("x") == F.col("y"), -1).when(F.col("x") < F.col("y"), 0).otherwise(1))
+        rows = rows.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")))).select(names)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "child bigint, parent bigint, low bigint, high bigint, apart double")
+    if every:
+        return pairs.select("child", "parent").distinct()
+    return pairs.groupBy("low", "high").agg(F.min_by(F.struct("child", "parent"), F.struct("apart", "child", "parent")).alias("p")).select("p.child", "p.parent")
+
+
 def find(keyed: DataFrame) -> DataFrame:
     """(_k, n, component) of each document of keyed_documents()."""
     table = written(features(keyed), "features")
@@ -273,15 +415,22 @@ def find(keyed: DataFrame) -> DataFrame:
         left = written(apart(left if last else left.join(chosen, ["child", "parent"], "left_anti"), joined), "left")
         if left.isEmpty():
             break
-    # documents that met similar ones without a link look a second time, with all of their and the others' components
-    refused = apart(pairs, joined)
-    groups = written(refused.select(F.col("c_child").alias("group")).unionByName(refused.select(F.col("c_parent").alias("group"))).distinct(), "groups")
-    if not groups.isEmpty():
-        some = reps.join(joined.select(F.col("node").alias("_k"), "component"), "_k", "left").withColumn("group", F.coalesce("component", "_k"))
-        more = candidates(some.join(groups, "group", "left_semi"), again=True).join(pairs.select("child", "parent"), ["child", "parent"], "left_anti")
-        found = written(confirmed(keyed, written(more.select("child", "parent"), "more")), "links")
-        if not found.isEmpty():
-            joined = components(links.unionByName(found), "child", "parent")
+    # documents that share a bucket with another component look a second time, exactly
+    grouped = lambda df: df.join(joined.select(F.col("node").alias("_k"), F.col("component").alias("group")), "_k", "left").withColumn("group", F.coalesce("group", "_k"))
+    some = written(unsettled(grouped(reps)), "unsettled")
+    if size := some.count():
+        texts = keyed.join(few(some, WANTED), "_k", "left_semi")
+        members = written(prefixes(texts, shingle_slots(texts, -(-size // SAMPLE))), "prefixes")
+        done = pairs.select("child", "parent")
+        for every in (False, True):
+            more = written(rare_pairs(grouped(members), every).join(done, ["child", "parent"], "left_anti"), "more")
+            if more.isEmpty():
+                continue
+            done = done.unionByName(more)
+            found = written(confirmed(keyed, more), "links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                joined = components(links, "child", "parent")
     final = classes.join(joined, classes.rep == joined.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     return table.join(final, ["n", "h1", "h2"], "left").select("_k", F.col("n").cast("bigint").alias("n"), F.coalesce("component", "_k").alias("component"))
 
