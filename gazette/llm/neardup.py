@@ -11,12 +11,14 @@ first, and only a batch's first documents are shuffled, so that a bucket of a th
 
 Candidates are confirmed in rounds: each document with the candidate that it met most often; then the links found are
 joined to components, pairs within a component are dropped, and so on; the last round takes all pairs that are left.
-Components that still share a bucket with another one look a second time: REACH others of other components a bucket.
+Documents that still share a bucket with another component, compared or not, look a second time, exactly: all those that
+share one of their rarest shingles (as many as similarity 0.8 needs) and are not excluded by set sizes, by the shingle's
+place or by a bitmap are confirmed; first the nearest pair of each two components, then all pairs that are left.
 Components grow by the smallest label and pointer jumping.
 
-Recall: two documents of similarity 0.8 share a bucket with a chance of 0.998 (0.85: 0.9999). In buckets of up to three
-they are then compared for certain; in larger ones with others of their group, through which they are joined. Nothing is
-capped.
+Recall: two documents of similarity 0.8 share a bucket with a chance of 0.998 (0.85: 0.9999). They
+are then compared or linked through others for certain, however many documents the bucket holds: the first look's tree
+only saves comparisons.
 
 Nulls and edge cases: a null or blank text has an empty set and is linked with nothing. A text of one word has that word as
 its set. Rows that repeat doc_id and text are one document, whose row is returned as often; see keyed_documents for null
@@ -191,8 +193,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 def confirmed(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (child, parent) of the written table pairs whose sets are similar enough.
 
-    Each text goes once to every parent that it is compared with, and a parent's to itself; a parent has a bounded number
-    of children in each bucket. The ids of the texts needed are broadcast if they are few, else the texts are shuffled.
+    Each text goes once to every parent that it is compared with, and a parent's to itself. The ids of the texts needed are broadcast if they are few, else the texts are shuffled.
     """
     wanted = pairs.select(F.col("child").alias("_k"), F.col("parent").alias("to")).unionByName(pairs.select(F.col("parent").alias("_k"), F.col("parent").alias("to")))
     wanted = written(wanted.groupBy("_k").agg(F.collect_set("to").alias("to")), "wanted")
