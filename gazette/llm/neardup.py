@@ -1,24 +1,24 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on the full shingle sets.
 
-A document's set holds its distinct two-word shingles (64-bit hashes). Instead of ITEMS^2 independent tables, two
-collections of ITEMS items are drawn, each item WIDTH minhashes; a table's key combines a pair of items, one of each
+A document's set holds its distinct two-word shingles (64-bit hashes; the width is a parameter). Instead of ITEMS^2 independent
+tables, two collections of ITEMS items are drawn, each item WIDTH minhashes; a table's key combines a pair of items, one of each
 collection. So ITEMS^2 tables of 2 WIDTH minhashes need 2 ITEMS WIDTH minhash values: their square root, but for a factor.
 
-Documents of equal sets are one class, represented by its smallest id. Within a table's bucket no pairs are listed: the
-documents, in an order drawn for each item of the first collection, form a tree of FAN branches, and each is compared with its parent and with
-the document before it. So a document meets other members of a large group in each table. Buckets are formed in each batch
-first, and only a batch's first documents are shuffled, so that a bucket of a third of all documents costs a row a batch.
+Documents of equal sets are one class, represented by its smallest id. Buckets of a single class are dropped; the others are
+written once, a row for each class and bucket. Links are found in two steps, whose tables grow with those rows only:
 
-Candidates are confirmed in rounds: each document with the candidate that it met most often; then the links found are
-joined to components, pairs within a component are dropped, and so on; the last round takes all pairs that are left.
-Documents that still share a bucket with another component, compared or not, look a second time, exactly: all those that
-share one of their rarest shingles (as many as similarity 0.8 needs) and are not excluded by set sizes, by the shingle's
-place or by a bitmap are confirmed; first the nearest pair of each two components, then all pairs that are left.
-Components grow by the smallest label and pointer jumping.
+1. Stars, in ROUNDS rounds of another order each: in every bucket that holds more than one component, the documents of other
+   components than the bucket's first document's may be compared with it; a document takes the one that it meets in most
+   buckets. The links that the full sets confirm are joined to components.
+2. All documents that still share a bucket with another component are compared, within each bucket and across components only.
+   Refused are pairs whose set sizes or bitmaps (parities of the set's shares) exclude the similarity. First the nearest pair of
+   each two components goes to the full sets, then all pairs that are left. A bucket of more than BLOCK rows is dealt in
+   cells: its largest component in blocks, each of which meets each block of the others.
 
-Recall: two documents of similarity 0.8 share a bucket with a chance of 0.998 (0.85: 0.9999). They
-are then compared or linked through others for certain, however many documents the bucket holds: the first look's tree
-only saves comparisons.
+So every two documents that share a bucket are linked through others, compared on the full sets or excluded for certain. Nothing is
+capped, and nothing depends on how rows are dealt to tasks. Components grow by the smallest label and pointer jumping.
+
+Recall: two documents of similarity 0.8 share a bucket with a chance of 0.998 (0.85: 0.9999).
 
 Nulls and edge cases: a null or blank text has an empty set and is linked with nothing. A text of one word has that word as
 its set. Rows that repeat doc_id and text are one document, whose row is returned as often; see keyed_documents for null
@@ -40,20 +40,22 @@ from .common import binary_text, few, keyed_documents, repeat_rows, written
 #: Similarity from which documents are linked, in percent.
 PERCENT = 80
 ITEMS, WIDTH = 10, 3
-FAN = 1024
+#: Words of a shingle.
+WORDS = 2
 #: Documents whose lists of partners, of some dozens at most, are broadcast; those of more are joined by a shuffle.
 WANTED = 300_000
-#: Rounds of confirmation. All but the last take one candidate of each document, the last all that are left.
-ROUNDS = 3
-#: The second look: rows of one shingle that meet in a task, 64-bit words of a set's bitmap, slots in which the shingles of
-#: about SAMPLE documents are counted, and crowded buckets whose keys are broadcast.
-BLOCK, WORDS, SLOTS, SAMPLE, CROWDED = 1000, 8, 1 << 18, 20_000, 300_000
+#: Rounds of stars.
+ROUNDS = 2
+#: Rows of a bucket that meet in a task, and 64-bit words of a set's bitmap.
+BLOCK, BITMAP = 500, 16
+#: Texts that a task compares with one parent, at most.
+CHILDREN = 64
 PART_BYTES = 2 << 20
 SEED = 7
 
 
-def shingle_sets(values: np.ndarray, offsets: np.ndarray):
-    """The sorted distinct shingle hashes of each document between offsets, in turn."""
+def shingle_sets(values: np.ndarray, offsets: np.ndarray, width: int = WORDS):
+    """The sorted distinct hashes of each document's shingles of width words, in turn; of all its words if it has fewer."""
     for first, last in hashing.parts(offsets, PART_BYTES):
         base = offsets[first]
         data = hashing.lower(values[base : offsets[last]])
@@ -64,10 +66,18 @@ def shingle_sets(values: np.ndarray, offsets: np.ndarray):
         glued = inner[np.isin(inner, starts, invert=True) & (np.searchsorted(starts, inner, "right") > np.searchsorted(ends, inner, "right"))]
         starts, ends = np.sort(np.concatenate([starts, glued])), np.sort(np.concatenate([ends, glued]))
         words = hashing.span_hashes(data, starts, ends)
-        pairs = hashing.mix(words[:-1] * np.uint64(3) + hashing.mix(words[1:])) if len(words) > 1 else words[:0]
+        grams = words
+        for k in range(1, width):
+            grams = hashing.mix(grams[:-1] * np.uint64(3) + hashing.mix(words[k:])) if len(grams) > 1 else words[:0]
         at = np.searchsorted(starts, cuts)
         for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.unique(pairs[a : b - 1]) if b - a > 1 else words[a:b]
+            if b - a >= width:
+                yield np.unique(grams[a : b - width + 1])
+                continue
+            few_words = words[a : min(a + 1, b)]
+            for k in range(a + 1, b):
+                few_words = hashing.mix(few_words * np.uint64(3) + hashing.mix(words[k : k + 1]))
+            yield few_words
 
 
 def minhash_parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -91,48 +101,30 @@ def signature(shingles: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.n
     return out
 
 
-def features(keyed: DataFrame) -> DataFrame:
-    """(_k, n, h1, h2, items): set size, a 128-bit hash of the set, and the two collections."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The parities of BITMAP * 64 shares of the set: two sets differ in as many shingles as their bitmaps do in bits, at least."""
+    odd = np.bincount((hashing.mix(shingles) % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def features(keyed: DataFrame, width: int = WORDS) -> DataFrame:
+    """(_k, n, h1, h2, items, bits): set size, a 128-bit hash of the set, the two collections and the bitmap."""
 
     def scan(batches):
         import pyarrow as pa
 
         times, plus = minhash_parameters()
         for batch in batches:
-            ns, h1, h2, items = [], [], [], []
-            for s in shingle_sets(*binary_text(batch)):
+            ns, h1, h2, items, bits = [], [], [], [], []
+            for s in shingle_sets(*binary_text(batch), width):
                 ns.append(len(s))
                 h1.append(hashing.mix(s).sum(dtype=np.uint64))
                 h2.append(hashing.mix(s * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1)).sum(dtype=np.uint64))
                 items.append(signature(s, times, plus).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), pa.array(items, pa.binary())], ["_k", "n", "h1", "h2", "items"])
-
-    return keyed.select("_k", "text").mapInArrow(scan, "_k bigint, n int, h1 bigint, h2 bigint, items binary")
-
-
-def random_rank(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Another order of the documents for each key."""
-    return hashing.mix(key.view(np.uint64) * np.uint64(3) + doc.astype(np.uint64)).view(np.int64)
-
+                bits.append(bitmap(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), pa.array(items, pa.binary()), pa.array(bits, pa.binary())], ["_k", "n", "h1", "h2", "items", "bits"])
 
-def pairs_of(key: np.ndarray, n: np.ndarray, doc: np.ndarray):
-    """Distinct (child, parent) with their counts, as columns, of rows sorted by key and rank.
-
-    A row is compared with its parent in the tree of FAN branches over its key's rows, and with the row before it, if their
-    set sizes allow the similarity.
-    """
-    at = np.arange(len(key))
-    start = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
-    both = []
-    for other in (start + (at - start - 1) // FAN, at - 1):
-        one = np.flatnonzero((other >= start) & (at > start))
-        two = other[one]
-        fit = (doc[one] != doc[two]) & (PERCENT * np.maximum(n[one], n[two]) <= 100 * np.minimum(n[one], n[two]))
-        both.append(np.stack([doc[one[fit]], doc[two[fit]]], 1))
-    both = np.concatenate(both)
-    both.sort(axis=1)
-    found, count = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
-    return found[:, 1], found[:, 0], count
+    return keyed.select("_k", "text").mapInArrow(scan, "_k bigint, n int, h1 bigint, h2 bigint, items binary, bits binary")
 
 
 def bucket_keys(items: np.ndarray) -> np.ndarray:
@@ -142,66 +134,53 @@ def bucket_keys(items: np.ndarray) -> np.ndarray:
     return hashing.mix(items[:, i] * np.uint64(5) + hashing.mix(items[:, ITEMS + j]) + table).ravel().view(np.int64)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(child, parent, met): candidate pairs of the first look, and how often each was met."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """(key, _k, n): the buckets that hold more than one of reps, as a written table."""
 
     def form(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = bucket_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS))
-            doc, n = (np.repeat(np.asarray(batch.column(c)).astype(np.int64), ITEMS * ITEMS) for c in range(2))
-            # an order for each item of the first collection: a document meets other ones for each of them
-            rank = random_rank(np.tile(np.repeat(np.arange(ITEMS), ITEMS), batch.num_rows), doc)
-            order = np.lexsort((rank, key))
-            key, rank, doc, n = (c[order] for c in (key, rank, doc, n))
-            child, parent, met = pairs_of(key, n, doc)
-            first = np.append(True, key[1:] != key[:-1])
-            spread = random_rank(child, parent)
-            cols = [(key[first], spread), (rank[first], spread), (n[first], met), (doc[first], child), (np.full(first.sum(), -1), parent)]
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-            for a in range(0, out.num_rows, 100_000):
-                yield out.slice(a, 100_000)
+            if batch.num_rows:
+                key = bucket_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS))
+                out = pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(np.asarray(batch.column(c)), ITEMS * ITEMS)) for c in range(2))], ["key", "_k", "n"])
+                for a in range(0, out.num_rows, 100_000):
+                    yield out.slice(a, 100_000)
 
-    def meet(batches):
-        import pyarrow as pa
+    rows = reps.select("_k", "n", "items").mapInArrow(form, "key bigint, _k bigint, n int")
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    return written(rows.join(few(shared), "key", "left_semi"), "buckets")
 
-        held = None  # the first and last row of the key that the last batch ended in
-        for batch in batches:
-            key, _, n, doc, parent = (np.asarray(c) for c in batch.columns)
-            pair = parent >= 0
-            out = [(doc[pair], parent[pair], n[pair])]
-            cols = [c[~pair] for c in (key, n, doc)]
-            if len(cols[0]):
-                if held is not None and held[0][0] == cols[0][0]:
-                    cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-                out.append(pairs_of(*cols))
-                first, size = int(np.searchsorted(cols[0], cols[0][-1])), len(cols[0])
-                held = [c[sorted({first, size - 1})] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["child", "parent", "met"])
 
-    names = ["key", "rank", "n", "doc", "parent"]
-    rows = reps.select("_k", "n", "items").mapInArrow(form, ", ".join(f"{n} bigint" for n in names))
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "rank")
-    pairs = rows.mapInArrow(meet, "child bigint, parent bigint, met bigint")
-    return pairs.groupBy("child", "parent").agg(F.sum("met").alias("met"))
+def crowded(rows: DataFrame) -> DataFrame:
+    """The (key, _k, n, group) of the buckets that hold more than one group, as a written table."""
+    keys = written(rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b").select("key"), "crowded")
+    return written(rows.join(few(keys), "key", "left_semi"), "rows")
+
 
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(child, parent): each document with the first one of most of its buckets, if that is of another group and of fitting size."""
+    first = rows.groupBy("key").agg(F.min_by(F.struct("_k", "n", "group"), F.xxhash64("_k", F.lit(turn))).alias("first"))
+    fit = (F.col("group") != F.col("first.group")) & (PERCENT * F.greatest("n", "first.n") <= 100 * F.least("n", "first.n"))
+    met = rows.join(first, "key").filter(fit).groupBy(F.col("_k").alias("child"), F.col("first._k").alias("parent")).agg(F.count(F.lit(1)).alias("met"))
+    return met.groupBy("child").agg(F.max_by("parent", F.struct("met", "parent")).alias("parent"))
 
-def confirmed(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def confirmed(keyed: DataFrame, pairs: DataFrame, width: int = WORDS) -> DataFrame:
     """The (child, parent) of the written table pairs whose sets are similar enough.
 
-    Each text goes once to every parent that it is compared with, and a parent's to itself. The ids of the texts needed are broadcast if they are few, else the texts are shuffled.
+    A parent's children are dealt in groups of about CHILDREN, and its text goes once to each group; a child's text goes once to each of its
+    parents. The ids of the texts needed are broadcast if they are few, else the texts are shuffled.
     """
-    wanted = pairs.select(F.col("child").alias("_k"), F.col("parent").alias("to")).unionByName(pairs.select(F.col("parent").alias("_k"), F.col("parent").alias("to")))
-    wanted = written(wanted.groupBy("_k").agg(F.collect_set("to").alias("to")), "wanted")
+    many = pairs.groupBy("parent").agg(F.ceil(F.count(F.lit(1)) / CHILDREN).alias("parts"))
+    split = pairs.join(many, "parent").select("child", "parent", F.pmod(F.xxhash64("child"), F.col("parts")).alias("part"))
+    ends = split.select(F.col("child").alias("_k"), F.struct("parent", "part").alias("to")).unionByName(split.select(F.col("parent").alias("_k"), F.struct("parent", "part").alias("to")))
+    wanted = written(ends.groupBy("_k").agg(F.collect_set("to").alias("to")), "wanted")
     texts = keyed.select("_k", "text").join(few(wanted, WANTED), "_k")
-    rows = texts.select(F.explode("to").alias("to"), "_k", F.col("text"))
-    rows = rows.withColumn("child", F.col("_k") != F.col("to")).select("to", "child", "_k", "text")
+    rows = texts.select(F.explode("to").alias("to"), "_k", "text").select(F.col("to.parent").alias("to"), F.col("to.part").alias("part"), "_k", "text")
+    rows = rows.withColumn("child", F.col("_k") != F.col("to")).select("to", "part", "child", "_k", "text")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "to").sortWithinPartitions("to", "child", "_k")
+    rows = rows.repartition(parts, "to", "part").sortWithinPartitions("to", "part", "child", "_k")
 
     def compare(batches):
         import pyarrow as pa
@@ -209,12 +188,12 @@ def confirmed(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
         mother, own = None, None
         for batch in batches:
             out = []
-            to, child, doc = (batch.column(c).to_pylist() for c in range(3))
-            for t, is_child, k, s in zip(to, child, doc, shingle_sets(*binary_text(batch)), strict=True):
+            to, part, child, doc = (batch.column(c).to_pylist() for c in range(4))
+            for t, p, is_child, k, s in zip(to, part, child, doc, shingle_sets(*binary_text(batch), width), strict=True):
                 if not is_child:
-                    mother, own = t, s
+                    mother, own = (t, p), s
                     continue
-                if mother != t:
+                if mother != (t, p):
                     raise ValueError("a parent's text is missing")
                 small, large = sorted((len(s), len(own)))
                 if 100 * small < PERCENT * large:
@@ -245,201 +224,142 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return labels
 
 
-def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components, c_child and c_parent."""
-    side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias("c_" + c))
-    both = pairs.select("child", "parent", "met").join(side("child"), "child", "left").join(side("parent"), "parent", "left")
-    both = both.select("child", "parent", "met", F.coalesce("c_child", "child").alias("c_child"), F.coalesce("c_parent", "parent").alias("c_parent"))
-    return both.filter("c_child <> c_parent")
+def grouped(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """rows with the group of _k: its component, or itself."""
+    if joined is None:
+        return rows.withColumn("group", F.col("_k"))
+    return rows.join(joined.select(F.col("node").alias("_k"), F.col("component").alias("group")), "_k", "left").withColumn("group", F.coalesce("group", "_k"))
 
 
-def unsettled(some: DataFrame) -> DataFrame:
-    """(_k): the documents of (_k, group, items) that share a bucket with a document of another group.
+def cells(rows: DataFrame) -> DataFrame:
+    """The (key, _k, n, group) of crowded() dealt in cells: (cell, unit, group, n, _k).
 
-    All documents of all buckets count, whether or not a pair of them was compared.
+    Each two rows of a bucket and of other groups meet in one cell, in which they have other units. A bucket of at most BLOCK rows
+    is one cell with the groups as units. In a larger one, the largest group's rows are dealt in blocks, and so are all others: each
+    block of the one meets each block of the other, and the other blocks meet each other and themselves.
     """
-
-    def form(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                key = bucket_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2 * ITEMS))
-                out = pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(np.asarray(batch.column(c)), ITEMS * ITEMS)) for c in range(2))], ["key", "_k", "group"])
-                for a in range(0, out.num_rows, 100_000):
-                    yield out.slice(a, 100_000)
-
-    rows = some.select("_k", "group", "items").mapInArrow(form, "key bigint, _k bigint, group bigint")
-    crowded = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b").select("key")
-    return rows.join(few(written(crowded, "crowded"), CROWDED), "key", "left_semi").select("_k").distinct()
-
-
-def shingle_slots(texts: DataFrame, share: int) -> np.ndarray:
-    """How often the shingles of each of SLOTS slots occur in one of share documents; this only orders the shingles."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for s in shingle_sets(*binary_text(batch)):
-                np.add.at(total, (s % np.uint64(SLOTS)).astype(np.int64), 1)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "c"])
-
-    rows = texts.filter(F.pmod(F.xxhash64("_k"), F.lit(share)) == 0).select("_k", "text").mapInArrow(count, "slot bigint, c bigint")
-    found = rows.groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(SLOTS, np.uint32)
-    out[np.asarray(found["slot"])] = np.minimum(np.asarray(found["c"]), (1 << 32) - 1)
-    return out
-
-
-def prefixes(texts: DataFrame, slots: np.ndarray) -> DataFrame:
-    """(_k, n, bits, rare): set size, the parities of WORDS * 64 shares of the set, and its rarest shingles in turn.
-
-    Two sets of similarity PERCENT share one of their n - ceil(n * PERCENT / 100) + 1 rarest shingles, in any order that holds
-    for all sets.
-    """
-
-    def scan(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ns, bits, rare = [], [], []
-            for s in shingle_sets(*binary_text(batch)):
-                odd = np.bincount((hashing.mix(s) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
-                ns.append(len(s))
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                order = np.lexsort((s, slots[(s % np.uint64(SLOTS)).astype(np.int64)]))
-                rare.append(s[order[: len(s) + (-PERCENT * len(s)) // 100 + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(bits, pa.binary()), pa.array(rare, pa.binary())], ["_k", "n", "bits", "rare"])
-
-    return texts.select("_k", "text").mapInArrow(scan, "_k bigint, n int, bits binary, rare binary")
-
-
-def fitting_pairs(key: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray, place: np.ndarray, side: np.ndarray, bits: np.ndarray):
-    """(i, j, distance) of the rows, sorted by key and n, of one key and of other groups that can be similar enough.
-
-    Refused are only pairs whose set sizes, places of the shingle or bitmaps exclude the similarity. The distance is the
-    bitmaps', over the sum of the sizes.
+    named = ["cell", "unit", "group", "n", "_k"]
+    sizes = rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("rows"), F.max_by("group", F.struct("c", "group")).alias("main"), F.max("c").alias("mains"))
+    hot = written(sizes.filter(F.col("rows") > BLOCK).select("key", "main", F.ceil(F.col("mains") / BLOCK).alias("b"), F.ceil((F.col("rows") - F.col("mains")) / BLOCK).alias("c")), "hot")
+    small = rows.join(few(hot), "key", "left_anti").select(F.col("key").alias("cell"), F.col("group").alias("unit"), "group", "n", "_k")
+    if hot.isEmpty():
+        return small
+    big = rows.join(few(hot), "key")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("_k", "key"), F.col(n))
+    main = big.filter("group = main").withColumn("x", block("b")).withColumn("y", to("c"))
+    main = main.withColumn("cell", F.xxhash64("key", F.lit("main"), "x", "y")).withColumn("unit", F.lit(0).cast("bigint"))
+    rest = big.filter("group <> main").withColumn("y", block("c"))
+    across = rest.withColumn("x", to("b")).withColumn("cell", F.xxhash64("key", F.lit("main"), "x", "y")).withColumn("unit", F.lit(1).cast("bigint"))
+    inside = rest.withColumn("x", to("c")).withColumn("cell", F.xxhash64("key", F.lit("rest"), F.least("x", "y"), F.greatest("x", "y")))
+    inside = inside.withColumn("unit", F.when(F.col("x") == F.col("y"), F.col("group")).otherwise((F.col("y") > F.col("x")).cast("bigint")))
+    return small.unionByName(main.select(named)).unionByName(across.select(named)).unionByName(inside.select(named))
+
+
+def fitting_pairs(cell: np.ndarray, unit: np.ndarray, group: np.ndarray, n: np.ndarray, bits: np.ndarray, at_once: int = 1 << 20):
+    """(i, j, distance), in parts, of rows, sorted by cell and unit, of one cell and other units and groups that can be similar enough.
+
+    Refused are only pairs whose set sizes or bitmaps exclude the similarity. The distance is the bitmaps', over the sum of the sizes.
     """
-    found, i, d = [], np.arange(len(key)), 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(key)]
-        i = i[(key[i] == key[i + d]) & (PERCENT * n[i + d] <= 100 * n[i])]
-        j = i + d
-        least = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))  # shingles that both must hold
-        fit = (group[i] != group[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-        a, b, least = i[fit], j[fit], least[fit]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        fit = apart <= n[a] + n[b] - 2 * least
-        found.append((a[fit], b[fit], apart[fit] / (n[a] + n[b])[fit]))
-    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-
-
-def rare_pairs(members: DataFrame, every: bool) -> DataFrame:
-    """(child, parent) of members (prefixes with a group) of other groups that share a rare shingle and can be similar enough.
-
-    Every such pair, or else the nearest one of each two groups. A shingle of more than BLOCK rows is dealt in blocks, and
-    each two blocks meet in a task of their own.
+    cell_end = np.searchsorted(cell, cell, "right")
+    last = np.append((cell[1:] != cell[:-1]) | (unit[1:] != unit[:-1]), True)
+    unit_end = np.flatnonzero(last)[np.cumsum(np.append(0, last[:-1]))] + 1
+    partners = np.append(0, np.cumsum(cell_end - unit_end))
+    for a, b in hashing.parts(partners, at_once):
+        count = cell_end[a:b] - unit_end[a:b]
+        i = np.repeat(np.arange(a, b), count)
+        j = np.arange(len(i)) - np.repeat(partners[a:b] - partners[a], count) + unit_end[i]
+        fit = (group[i] != group[j]) & (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        both = n[i] + n[j]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        fit = apart <= both - 2 * -(-PERCENT * both // (100 + PERCENT))  # what two sets of the similarity differ in, at most
+        yield i[fit], j[fit], apart[fit] / both[fit]
+
+
+def cell_pairs(rows: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
+    """(child, parent) of the rows of crowded() that are of other groups and can be similar enough.
+
+    Every such pair, or else the nearest one of each two groups. bits has the bitmap of each _k.
     """
 
-    def rows_of(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rare = [np.frombuffer(b, np.int64) for b in batch.column(4).to_pylist()]
-            cuts = np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int64)
-            for first, last in hashing.parts(cuts, 50_000):
-                size = np.diff(cuts[first : last + 1])
-                again = np.repeat(np.arange(first, last), size)
-                place = np.arange(cuts[first], cuts[last]) - cuts[again]
-                cols = [pa.array(np.concatenate(rare[first:last])), *(batch.column(c).take(pa.array(again)) for c in range(4)), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "doc", "n", "group", "bits", "place"])
-
     def meet(batches):
         import pyarrow as pa
 
-        held = None  # the rows of the key that the last batch ended in
+        held = None  # the rows of the cell that the last batch ended in
         for batch in itertools.chain(batches, [None]):
             cols = held
             if batch is not None:
-                cols = [*(np.asarray(batch.column(c)).astype(np.int64) for c in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                cols = [*(np.asarray(batch.column(c)).astype(np.int64) for c in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)]
                 if held is not None:
                     cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             if cols is None or not len(cols[0]):
                 continue
             end = int(np.searchsorted(cols[0], cols[0][-1])) if batch is not None else len(cols[0])
             held, cols = [c[end:] for c in cols], [c[:end] for c in cols]
-            i, j, apart = fitting_pairs(*cols)
-            doc, group = cols[2], cols[3]
-            low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-            child, parent = np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])
-            one, two = (child, parent) if every else (low, high)
-            order = np.lexsort((parent, child, apart, two, one))
-            one, two = one[order], two[order]
-            keep = order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(order)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (child, parent, low, high, apart.astype(float))], ["child", "parent", "low", "high", "apart"])
-
-    rows = members.select("_k", "n", "group", "bits", "rare").mapInArrow(rows_of, "key bigint, doc bigint, n int, group bigint, bits binary, place int")
-    hot = written(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot")
-    names = ["key", "n", "doc", "group", "place", "side", "bits"]
-    if hot.isEmpty():
-        rows = rows.withColumn("side", F.lit(-1)).select(names)
-    else:
-        rows = rows.join(few(hot, CROWDED), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
-        rows = rows.withColumn("x", F.pmod(F.xxhash64("doc", "key"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        rows = rows.withColumn("side", F.when(F.col("x") == F.col("y"), -1).when(F.col("x") < F.col("y"), 0).otherwise(1))
-        rows = rows.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")))).select(names)
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(meet, "child bigint, parent bigint, low bigint, high bigint, apart double")
+            cell, unit, group, n, doc, bits = cols
+            for i, j, apart in fitting_pairs(cell, unit, group, n, bits):
+                low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+                child, parent = np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])
+                one, two = (child, parent) if every else (low, high)
+                order = np.lexsort((parent, child, apart, two, one))
+                one, two = one[order], two[order]
+                keep = order[np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(order)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (child, parent, low, high, apart.astype(float))], ["child", "parent", "low", "high", "apart"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells(rows).join(bits.select("_k", "bits"), "_k").select("cell", "unit", "group", "n", "_k", "bits")
+    pairs = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "unit").mapInArrow(meet, "child bigint, parent bigint, low bigint, high bigint, apart double")
     if every:
         return pairs.select("child", "parent").distinct()
     return pairs.groupBy("low", "high").agg(F.min_by(F.struct("child", "parent"), F.struct("apart", "child", "parent")).alias("p")).select("p.child", "p.parent")
 
 
-def find(keyed: DataFrame) -> DataFrame:
+def find(keyed: DataFrame, width: int = WORDS) -> DataFrame:
     """(_k, n, component) of each document of keyed_documents()."""
-    table = written(features(keyed), "features")
+    table = written(features(keyed, width), "features")
     classes = written(table.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("_k").alias("rep")), "classes")
     reps = table.join(classes.select(F.col("rep").alias("_k")), "_k", "left_semi")
-    pairs = written(candidates(reps), "pairs")
-    links, joined, left = None, None, pairs
-    for round_ in range(ROUNDS):
-        last = round_ == ROUNDS - 1
-        chosen = left.select("child", "parent") if last else left.groupBy("child").agg(F.max_by("parent", F.struct("met", "parent")).alias("parent"))
-        chosen = written(chosen, "chosen")
-        found = written(confirmed(keyed, chosen), "links")
-        links = found if links is None else links.unionByName(found)
-        joined = components(links, "child", "parent")
-        left = written(apart(left if last else left.join(chosen, ["child", "parent"], "left_anti"), joined), "left")
-        if left.isEmpty():
+    rows = buckets(reps)
+    links, joined, tried = None, None, None
+
+    def look(pairs: DataFrame) -> bool:
+        """Confirms pairs that haven't been tried yet, joins the links and tells whether a pair was left to try."""
+        nonlocal links, joined, tried
+        pairs = written(pairs if tried is None else pairs.join(tried, ["child", "parent"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return False
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(confirmed(keyed, pairs, width), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            joined = components(links, "child", "parent")
+        return True
+
+    some = rows
+    for turn in range(ROUNDS):
+        some = grouped(rows, None) if joined is None else crowded(grouped(rows, joined))
+        ends = stars(some, turn)
+        look(ends.select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")).distinct())
+    for every in (False, True):
+        some = crowded(grouped(some.drop("group"), joined))
+        if some.isEmpty():
             break
-    # documents that share a bucket with another component look a second time, exactly
-    grouped = lambda df: df.join(joined.select(F.col("node").alias("_k"), F.col("component").alias("group")), "_k", "left").withColumn("group", F.coalesce("group", "_k"))
-    some = written(unsettled(grouped(reps)), "unsettled")
-    if size := some.count():
-        texts = keyed.join(few(some, WANTED), "_k", "left_semi")
-        members = written(prefixes(texts, shingle_slots(texts, -(-size // SAMPLE))), "prefixes")
-        done = pairs.select("child", "parent")
-        for every in (False, True):
-            more = written(rare_pairs(grouped(members), every).join(done, ["child", "parent"], "left_anti"), "more")
-            if more.isEmpty():
-                continue
-            done = done.unionByName(more)
-            found = written(confirmed(keyed, more), "links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                joined = components(links, "child", "parent")
-    final = classes.join(joined, classes.rep == joined.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+        look(cell_pairs(some, table, every))
+    if joined is None:
+        return table.select("_k", F.col("n").cast("bigint").alias("n"), F.coalesce(F.lit(None).cast("bigint"), "_k").alias("component")) if classes.isEmpty() else with_classes(table, classes.select("n", "h1", "h2", F.col("rep").alias("component")))
+    return with_classes(table, classes.join(joined, classes.rep == joined.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))
+
+
+def with_classes(table: DataFrame, final: DataFrame) -> DataFrame:
     return table.join(final, ["n", "h1", "h2"], "left").select("_k", F.col("n").cast("bigint").alias("n"), F.coalesce("component", "_k").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     keyed, odd = keyed_documents(docs)
-    found = find(keyed)
+    found = find(keyed, width)
     if not odd:
         return found.select(F.col("_k").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("_k") == F.col("component")).alias("kept"))
     names = keyed.select(F.col("_k").alias("component"), F.col("doc_id").alias("component_id"))
@@ -447,12 +367,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return repeat_rows(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "_n"))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns of docs: the one of its smallest id."""
+def keep_documents(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """One row of each component, with all columns of docs: the one of its smallest id.
+
+    Of rows that repeat its doc_id and text, the one whose columns as JSON come first.
+    """
     keyed, odd = keyed_documents(docs)
-    found = written(find(keyed), "components")
+    found = written(find(keyed, width), "components")
     if not odd:
         gone = found.filter("_k <> component").select(F.col("_k").alias("doc_id"))
-        return docs.join(few(written(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(few(written(gone, "gone")), "doc_id", "left_anti").select([docs[f"`{c}`"] for c in docs.columns])
     stay = keyed.join(found.filter("_k = component").select("_k"), "_k", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["text"].eqNullSafe(F.col("_text")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("words"))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("_id")) & F.col("words").eqNullSafe(F.col("_text")), "left_semi")
+    return rows.groupBy("id", "words").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
