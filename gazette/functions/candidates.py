@@ -12,7 +12,9 @@ KEYWORDS = ("공지", "notice", "조회수", "첨부파일", "게시", "board",
 PRICES = {"openai": (0.40, 1.60), "gemini": (0.30, 2.50)}
 WON = 1350
 #: Headers that aren't sent on, and prefixes of others.
-DROPPED_HEADERS = ("authorization", "cookie", "proxy-authorization", "set-cookie", "x-api-key", "x-auth-token", "x-csrf-token")
+#: Request headers that a replay leaves out, and headers that no record may keep.
+DROPPED_HEADERS = ("cookie", "content-length", "content-encoding", "host", "connection", "accept-encoding", "cache-control")
+SENSITIVE_HEADERS = ("authorization", "cookie", "proxy-authorization", "x-api-key", "x-csrf-token", "x-xsrf-token", "csrf-token")
 DROPPED_PREFIXES = ("sec-ch-", "sec-fetch-")
 
 
@@ -61,7 +63,7 @@ def informative_sample(body: Column, limit: int = 400, before: int = 120) -> Col
 
 
 def sent_headers(headers: Column) -> Column:
-    """A map of headers without credentials and those of the browser."""
+    """A map of headers without those that belong to one connection or browser."""
     def keep(key: Column, _: Column) -> Column:
         k = F.lower(key)
         out = ~k.isin(*DROPPED_HEADERS)
@@ -72,6 +74,69 @@ def sent_headers(headers: Column) -> Column:
     return F.map_filter(headers, keep)
 
 
+def public_headers(headers: Column) -> Column:
+    """A map of headers without credentials."""
+    return F.map_filter(headers, lambda key, _: ~F.lower(key).isin(*SENSITIVE_HEADERS))
+
+
+#: Parts of urls and samples that tell what a candidate isn't, and of urls of old servers.
+TELEMETRY_MARKS = ("analytics", "telemetry", "gtm", "google-analytics", "doubleclick", "hotjar", "sentry", "facebook", "pixel", "collect", "beacon", "metrics", "tracking", "hashtag")
+OTHER_MARKS = ("airbridge", "/config", "captcha", "/login/", "pcbang-check", "/logos", "/events/web/", "mediacategory", "redirecturl")
+ASSET_MARKS = ("jquery", "swiper", "analytics.js", "gtm.js", "ui.common", "language.js", "aos.js")
+LEGACY_MARKS = (".fo", ".do", ".data", ".action", ".ajax")
+
+
+def holds_any(text: Column, marks: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))
+
+
+def noise(c: dict[str, Column]) -> dict[str, Column]:
+    """Whether a candidate (api_url, sample, source_kind, data_key_hits, has_repeated_records) looks like telemetry, an asset or no content."""
+    records = F.coalesce(c["has_repeated_records"], F.lit(False))
+    idle = c["source_kind"].isin("script_other", "document_other") & (F.coalesce(F.size(c["data_key_hits"]), F.lit(0)) <= 0)
+    return {
+        "looks_like_telemetry": holds_any(c["api_url"], TELEMETRY_MARKS) | (~records & holds_any(c["sample"], TELEMETRY_MARKS)),
+        "looks_like_static_asset": F.coalesce(idle, F.lit(False)) | holds_any(c["api_url"], ASSET_MARKS),
+        "looks_like_non_content": ~records & holds_any(c["api_url"], OTHER_MARKS),
+    }
+
+
+def features(c: dict[str, Column]) -> Column:
+    """The features of a candidate that scoring reads, as a struct.
+
+    c: target_url, api_url, source_kind, resource_type, method, content_type, data_key_hits (array), body_shape, sample, key_count,
+    has_callback_param, has_repeated_records, semantic_record_count, title_date_pair_count, has_notice_terms.
+    """
+    from .text import url_without_query
+
+    authority = lambda url: F.lower(F.coalesce(F.call_function("try_parse_url", url, F.lit("AUTHORITY")), F.lit("")))
+    flag = lambda name: F.coalesce(c[name], F.lit(False))
+    hits = F.coalesce(c["data_key_hits"], F.array().cast("array<string>"))
+    count = lambda key: F.size(F.filter(hits, lambda h: h == key))
+    found = {
+        "is_exact_target": url_without_query(c["target_url"]) == url_without_query(c["api_url"]),
+        "is_same_host": authority(c["target_url"]) == authority(c["api_url"]),
+        "is_document_html": c["source_kind"] == "document_html",
+        "is_json_like": c["body_shape"].isin("json_object", "json_array") | F.contains(F.lower(c["content_type"]), F.lit("json")),
+        "is_jsonp_like": (c["source_kind"] == "jsonp_javascript") | (c["body_shape"] == "jsonp_wrapper"),
+        "is_javascript_bridge": c["source_kind"].isin("bridge_javascript", "script_data"),
+        "has_callback_param": flag("has_callback_param"),
+        "has_title_key": count("title") > 0, "title_key_count": count("title"), "has_date_key": count("date") > 0, "date_key_count": count("date"),
+        "has_total_count": count("count") > 0, "has_list_key": count("list") > 0, "data_key_hits_count": F.size(hits),
+        **noise(c),
+        "legacy_endpoint_hint": holds_any(c["api_url"], LEGACY_MARKS),
+        "resource_is_data_channel": c["resource_type"].isin("document", "fetch", "xhr", "script"),
+        "is_post": F.upper(F.coalesce(c["method"], F.lit("GET"))) == "POST",
+        "sample_length_ok": F.length(F.coalesce(c["sample"], F.lit(""))) >= 80,
+        "query_or_body_key_count": F.coalesce(c["key_count"], F.lit(0)),
+        "has_repeated_records": flag("has_repeated_records"), "semantic_record_count": F.coalesce(c["semantic_record_count"], F.lit(0)),
+        "title_date_pair_count": F.coalesce(c["title_date_pair_count"], F.lit(0)), "has_notice_terms": flag("has_notice_terms"),
+    }
+    truth = {k: F.coalesce(v, F.lit(False)) if k.startswith(("is_", "has_", "looks_", "legacy_", "resource_", "sample_")) else v for k, v in found.items()}
+    return F.struct(*[v.alias(k) for k, v in truth.items()], F.coalesce(c["body_shape"], F.lit("")).alias("body_shape"))
+
+
 def cost_in_won(provider: str, tokens_in: Column, tokens_out: Column) -> Column:
     a, b = PRICES[provider]
     return (tokens_in * a + tokens_out * b) * (WON / 1e6)

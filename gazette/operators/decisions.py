@@ -101,6 +101,7 @@ def score(f: Column, source_kind: Column, api_url: Column) -> Column:
     """The additive score of a struct of features: a sum of conditional terms."""
     points = lambda c, n: F.when(c, n).otherwise(0)
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_BONUS.items() for x in kv]), source_kind), F.lit(0))
+    # The points of each feature
     flags = {"looks_like_static_asset": -30, "looks_like_telemetry": -35, "looks_like_non_content": -30, "resource_is_data_channel": 2, "is_exact_target": 24, "is_same_host": 8, "is_post": 1, "is_json_like": 3, "is_jsonp_like": 1, "is_javascript_bridge": 2, "has_callback_param": 1, "legacy_endpoint_hint": 2, "has_title_key": 8, "has_date_key": 5, "has_total_count": 2, "has_list_key": 3, "sample_length_ok": 1, "has_notice_terms": 3}
     records = f["has_repeated_records"]
     total = bonus

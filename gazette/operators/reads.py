@@ -149,9 +149,10 @@ def folder_tree(folders: DataFrame, bridge: DataFrame, notices: DataFrame, keywo
     return full.filter("parent_folder_id is null").join(below, ["user_id", "folder_id"], "left").drop("parent_folder_id")
 
 
-def folder_depth(folders: DataFrame, folder_id: int) -> DataFrame:
-    """-1: no such folder, 0: root, 1: below one."""
-    return folders.filter(F.col("folder_id") == folder_id).agg(F.coalesce(F.max(F.when(F.col("parent_folder_id").isNull(), 0).otherwise(1)), F.lit(-1)).alias("depth"))
+def folder_depth(folders: DataFrame, asked: DataFrame) -> DataFrame:
+    """(folder_id, depth) of each asked folder_id. -1: no such folder, 0: root, 1: below one."""
+    known = folders.select("folder_id", F.when(F.col("parent_folder_id").isNull(), 0).otherwise(1).alias("_depth"))
+    return asked.select("folder_id").distinct().join(known, "folder_id", "left").select("folder_id", F.coalesce("_depth", F.lit(-1)).alias("depth"))
 
 
 def user_limits(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -160,8 +161,9 @@ def user_limits(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return users.join(counts, "user_id", "left").select("user_id", "nickname", "role", F.coalesce("max_sites_limit", F.lit(DEFAULT_SITES)).alias("max_sites"), F.coalesce("n_sites", F.lit(0)).alias("n_sites"))
 
 
-def device_tokens(tokens: DataFrame, user_id: int) -> DataFrame:
-    return tokens.filter(F.col("user_id") == user_id).select("token_id", "fcm_token", "platform")
+def device_tokens(tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """The device tokens of users."""
+    return tokens.join(users.select("user_id"), "user_id", "left_semi").select("token_id", "user_id", "fcm_token", "platform")
 
 
 def pending_events(outbox: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
@@ -243,14 +245,26 @@ def since(feed: DataFrame, date: str) -> DataFrame:
     return feed.filter(at.isNull() | (at >= F.lit(date).cast("timestamp_ntz")))
 
 
-def categorize(titles: DataFrame, keywords: DataFrame, held: DataFrame) -> DataFrame:
-    """(folder_id, id) of titles that hold one of a folder's keywords, in any case, and aren't in the folder yet.
+#: Characters of the pieces by which titles and keywords meet.
+GRAM = 3
+
 
-    Each folder's keywords are one array, so that a title meets a folder once; folders are few beside titles.
+def holds(titles: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(folder_id, id) of titles that hold one of a folder's keywords, in any case. No pair of a title and a keyword is formed by
+    chance: they meet in the keyword's first GRAM characters, and then the whole keyword is looked for. Shorter keywords meet titles by
+    pieces of their own length.
     """
-    words = keywords.groupBy("folder_id").agg(F.collect_set(F.lower("keyword")).alias("words"))
-    met = titles.join(words, F.exists("words", lambda w: F.contains(F.lower("title"), w)))
-    return met.select("folder_id", "id").join(held.select("folder_id", F.col("notice_id").alias("id")), ["folder_id", "id"], "left_anti")
+    words = keywords.select("folder_id", F.lower("keyword").alias("word")).filter("word <> ''").distinct()
+    words = words.withColumn("gram", F.substring("word", 1, GRAM))
+    low = titles.select("id", F.lower("title").alias("low")).filter("low <> ''")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.substring(F.col("low"), i, F.lit(n)))
+    grams = low.select("id", "low", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    return grams.join(words, "gram").filter(F.contains("low", "word")).select("folder_id", "id").distinct()
+
+
+def categorize(titles: DataFrame, keywords: DataFrame, held: DataFrame) -> DataFrame:
+    """(folder_id, id) of titles that hold one of a folder's keywords and aren't in the folder yet."""
+    return holds(titles, keywords).join(held.select("folder_id", F.col("notice_id").alias("id")), ["folder_id", "id"], "left_anti")
 
 
 def text_search(rows: DataFrame, needle: str, column: str = "title") -> DataFrame:

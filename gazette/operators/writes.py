@@ -239,12 +239,6 @@ def reorder_folders(folders: DataFrame, user_id: int, ids: list[int]) -> DataFra
     return set_where(folders, (F.col("user_id") == user_id) & place.isNotNull(), {"sort_order": place})
 
 
-def classify_errors(rows: DataFrame, text: str) -> Column:
-    """The error code of a stored message, by the first pattern that it holds."""
-    t = F.col(text)
-    return F.when(t.like("%access%"), "SITE_ACCESS_BLOCKED").when(t.like("%source%"), "NO_NOTICE_SOURCE").when(t.like("%timeout%"), "SITE_UNREACHABLE").otherwise("SITE_VALIDATION_FAILED")
-
-
 def open_baselines(subscriptions: DataFrame, sites: DataFrame, as_of: str) -> DataFrame:
     """Subscriptions without a baseline on an active site get one."""
     active = sites.filter(F.coalesce("crawl_status", F.lit("active")) == "active").select("site_id", F.lit(True).alias("_active"))

@@ -144,9 +144,9 @@ def folder_tree(s):
     return tree.select("user_id", F.col("folder_id").cast("bigint").alias("folder_id"), "folder_name", shown(F.col("notices")).alias("held"), F.coalesce(F.array_join(F.transform("children", child), ";"), F.lit("")).alias("children"))
 
 
-@query("folders", "SELECT CASE WHEN parent_folder_id IS NULL THEN 0 ELSE 1 END AS depth FROM folders WHERE folder_id = 103")
+@query("folders", "SELECT n_nationkey * 5 AS folder_id, CASE WHEN f.folder_id IS NULL THEN -1 WHEN parent_folder_id IS NULL THEN 0 ELSE 1 END AS depth FROM nation LEFT JOIN folders f ON f.folder_id = n_nationkey * 5")
 def folder_depth(s):
-    return R.folder_depth(s.folders, 103)
+    return R.folder_depth(s.folders, s.nation.select((F.col("n_nationkey") * 5).alias("folder_id")))
 
 
 @query("users subscriptions", "SELECT user_id, nickname, role, coalesce(max_sites_limit, 5) AS max_sites, count(site_id) AS n_sites FROM users LEFT JOIN subscriptions USING (user_id) GROUP BY ALL")
@@ -154,9 +154,9 @@ def user_limits(s):
     return R.user_limits(s.users, s.subscriptions)
 
 
-@query("tokens", "SELECT token_id, fcm_token, platform FROM tokens WHERE user_id = 42")
+@query("tokens users", "SELECT token_id, user_id, fcm_token, platform FROM tokens WHERE user_id IN (SELECT user_id FROM users)")
 def device_tokens(s):
-    return R.device_tokens(s.tokens, 42)
+    return R.device_tokens(s.tokens, s.users)
 
 
 PENDING = "status = 'pending' OR (status = 'processing' AND updated_at < TIMESTAMP '2024-01-20' - INTERVAL 10 MINUTE)"
@@ -377,11 +377,13 @@ def delivery_fanout(s):
     return W.fan_out(s.spark.sql(NEW, notices=s.notices), s.subscriptions, s.users, s.tokens, s.outbox)[1]
 
 
-@query("users subscriptions hidden", "SELECT 'subscriptions' AS name, count(*) AS n FROM subscriptions WHERE user_id % 10 <> 0 UNION ALL SELECT 'hidden', count(*) FROM hidden WHERE user_id % 10 <> 0 UNION ALL SELECT 'users', count(*) FROM users WHERE user_id % 10 <> 0")
+@query("users subscriptions hidden", "SELECT 'subscriptions' AS name, user_id, site_id AS other_id FROM subscriptions WHERE user_id % 10 <> 0 UNION ALL SELECT 'hidden', user_id, notice_id FROM hidden WHERE user_id % 10 <> 0 UNION ALL SELECT 'users', user_id, NULL FROM users WHERE user_id % 10 <> 0")
 def cascade_delete_user(s):
+    """The rows that are left, with their table's name."""
     left = W.delete_users(s.users, s.users.filter("user_id % 10 = 0"), {"subscriptions": s.subscriptions, "hidden": s.hidden})
-    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    other = {"users": F.lit(None), "subscriptions": F.col("site_id"), "hidden": F.col("notice_id")}
+    rows = [t.select(F.lit(name).alias("name"), "user_id", other[name].cast("bigint").alias("other_id")) for name, t in left.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 @query("users", "SELECT user_id, CASE WHEN r.n > 0 THEN coalesce(max_sites_limit, 5) + r.n ELSE max_sites_limit END AS max_sites_limit FROM users LEFT JOIN (SELECT referrer_id, count(*) AS n FROM users WHERE referrer_id <> user_id GROUP BY 1) r ON r.referrer_id = user_id")
@@ -411,18 +413,20 @@ GATE = """, r AS (SELECT *, concat(kind, ':', identity) AS k FROM (SELECT site_i
   count(*) FILTER (WHERE detail_url IS NULL) AS bad_urls, count(*) FILTER (WHERE published_at IS NULL) AS bad_dates, avg(CASE WHEN author IS NULL THEN 0 ELSE 1 END) AS a, avg(CASE WHEN published_at IS NULL THEN 0 ELSE 1 END) AS p, avg(CASE WHEN detail_url IS NULL THEN 0 ELSE 1 END) AS d, avg(CASE WHEN external_id IS NULL THEN 0 ELSE 1 END) AS e FROM r WHERE is_active GROUP BY 1),
   had AS (SELECT site_id, count(*) AS baseline, count(author) AS na, count(published_at) AS np, count(detail_url) AS nd, count(external_id) AS ne FROM r GROUP BY 1)
   SELECT s.site_id, coalesce(extracted, 0) AS extracted, coalesce(duplicates, 0) AS duplicates, coalesce(bad_urls, 0) AS bad_urls, coalesce(bad_dates, 0) AS bad_dates, coalesce(baseline, 0) AS baseline,
-  concat_ws(',', CASE WHEN coalesce(extracted, 0) < 1 THEN 'NO_EXTRACTED_RECORDS' END, CASE WHEN bad_urls > 0.2 * extracted THEN 'INVALID_DETAIL_URLS' END, CASE WHEN bad_dates > 0.5 * extracted THEN 'INVALID_DATES' END, CASE WHEN duplicates > 0.2 * extracted THEN 'DUPLICATE_RECORDS' END,
+  concat_ws(',', CASE WHEN coalesce(extracted, 0) < 1 THEN 'NO_EXTRACTED_RECORDS' END, CASE WHEN untitled > 0.25 * source_records THEN 'MISSING_TITLES' END, CASE WHEN bad_urls > 0.2 * extracted THEN 'INVALID_DETAIL_URLS' END, CASE WHEN bad_dates > 0.5 * extracted THEN 'INVALID_DATES' END, CASE WHEN duplicates > 0.2 * extracted THEN 'DUPLICATE_RECORDS' END,
   CASE WHEN na >= 2 AND na >= 0.5 * baseline AND na / baseline - coalesce(a, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_AUTHOR' END, CASE WHEN np >= 2 AND np >= 0.5 * baseline AND np / baseline - coalesce(p, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_PUBLISHED_AT' END,
-  CASE WHEN nd >= 2 AND nd >= 0.5 * baseline AND nd / baseline - coalesce(d, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_DETAIL_URL' END, CASE WHEN ne >= 2 AND ne >= 0.5 * baseline AND ne / baseline - coalesce(e, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_EXTERNAL_ID' END) AS reasons
-  FROM sites s LEFT JOIN got USING (site_id) LEFT JOIN had USING (site_id)"""
+  CASE WHEN nd >= 2 AND nd >= 0.5 * baseline AND nd / baseline - coalesce(d, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_DETAIL_URL' END, CASE WHEN ne >= 2 AND ne >= 0.5 * baseline AND ne / baseline - coalesce(e, 0) > 0.2 THEN 'FIELD_COVERAGE_REGRESSION_EXTERNAL_ID' END) AS reasons,
+  concat_ws(',', CASE WHEN semantic >= 4 AND coalesce(extracted, 0) / semantic < 0.5 THEN 'COVERAGE_MISMATCH' END, CASE WHEN semantic >= 4 AND extracted / semantic > 1.2 THEN 'OVER_EXTRACTION' END) AS diagnostics
+  FROM sites s LEFT JOIN got USING (site_id) LEFT JOIN had USING (site_id) LEFT JOIN (SELECT site_id, count(*) AS source_records, count(*) FILTER (WHERE author IS NULL) AS untitled, count(external_id) * (1 + site_id % 9) AS semantic FROM notices GROUP BY site_id) USING (site_id)"""
 
 
 @query("notices sites", GATE)
 def hard_gate(s):
     rows = W.identities(s.notices)
-    sources = s.sites.select("site_id", F.lit(0).alias("source_records"), F.lit(0).alias("rejected"), F.lit(0).alias("semantic_records"), F.lit(False).alias("failed"))
+    counts = s.notices.groupBy("site_id").agg(F.count(F.lit(1)).alias("source_records"), F.count_if(F.col("author").isNull()).alias("rejected"), (F.count("external_id") * (F.col("site_id") % 9 + 1)).alias("semantic_records"))
+    sources = s.sites.select("site_id", F.lit(False).alias("failed")).join(counts, "site_id", "left").na.fill(0, ["source_records", "rejected", "semantic_records"])
     out = D.gate(rows.filter("is_active"), rows, sources, "site_id")
-    return out.select("site_id", "extracted", "duplicates", "bad_urls", "bad_dates", "baseline", F.array_join("reasons", ",").alias("reasons"))
+    return out.select("site_id", "extracted", "duplicates", "bad_urls", "bad_dates", "baseline", F.array_join("reasons", ",").alias("reasons"), F.array_join("diagnostics", ",").alias("diagnostics"))
 
 
 @query("observations", """, x AS (SELECT l_orderkey, l_linenumber, title, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, length(title) AS len,
@@ -436,12 +440,11 @@ def representative_sample(s):
     return D.representatives(rows, "l_orderkey", "_order").select("l_orderkey", "l_linenumber", F.col("i").cast("bigint").alias("i"), F.col("place").cast("bigint").alias("place"))
 
 
-@query("", """WITH a AS (SELECT DISTINCT source, lower(trim(substr(text, 1, 20))) AS t FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT DISTINCT source, lower(trim(substr(text, 1, 20))) AS t FROM documents WHERE doc_id % 3 <> 1)
-  SELECT coalesce(a.source, b.source) AS source, count(*) FILTER (WHERE a.t IS NOT NULL AND b.t IS NOT NULL) AS common, count(*) FILTER (WHERE b.t IS NULL) AS missing, count(*) FILTER (WHERE a.t IS NULL) AS extra FROM a FULL JOIN b ON a.source = b.source AND a.t = b.t GROUP BY 1""")
+@query("notices", """, a AS (SELECT DISTINCT site_id, lower(trim(title)) AS t FROM notices), b AS (SELECT DISTINCT site_id, lower(trim(title)) AS t FROM notices WHERE is_active)
+  SELECT coalesce(a.site_id, b.site_id) AS site_id, count(*) FILTER (WHERE a.t IS NOT NULL AND b.t IS NOT NULL) AS common, count(*) FILTER (WHERE b.t IS NULL) AS missing, count(*) FILTER (WHERE a.t IS NULL) AS extra FROM a FULL JOIN b ON a.site_id = b.site_id AND a.t = b.t GROUP BY 1""")
 def shadow_parity(s):
-    """Two extractions of the same pages: each lacks another third of the titles."""
-    rows = s.documents.select("doc_id", "source", F.substring("text", 1, 20).alias("title"))
-    return D.shadow_parity(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 <> 1"), "source")
+    """All notices of a site against those that are still active."""
+    return D.shadow_parity(s.notices, s.notices.filter("is_active"), "site_id")
 
 
 RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, length DESC, api_index) AS rank FROM (SELECT DISTINCT ON (target_id, api_index) * FROM candidates ORDER BY target_id, api_index, score, length))"
@@ -500,11 +503,6 @@ def visible_text(s):
     return J.visible_text(s.pages, "page_id", "html")
 
 
-@query()
-def html_profile(s):
-    return J.profile(s.pages, "page_id", "html")
-
-
 @query("", "SELECT event_id, props->>'$.k' AS k, CAST(NULL AS VARCHAR) AS title FROM events")
 def json_rule_extract(s):
     return J.json_rule(s.events.select("event_id", "props"), "props", {"k": "$.k", "title": "$.items[0].title"}).select("event_id", "k", "title")
@@ -649,3 +647,6 @@ def navigation_resolve(s):
 @query("", "SELECT DISTINCT p_brand, concat('item-', p_size) AS id FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1)")
 def volatile_html_ids(s):
     return N.volatile_ids(s.part.select("p_brand", F.concat(F.lit("item-"), F.col("p_size")).alias("id")), "p_brand", "id")
+
+
+from . import lifecycle_queries  # noqa: E402, F401  registers its queries

@@ -1,8 +1,7 @@
 """Every registered query of the service against its DuckDB SQL, on the smallest tables."""
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from gazette.plans import registry
@@ -21,7 +20,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
