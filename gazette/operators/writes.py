@@ -125,9 +125,10 @@ def fallback_hash(title: Column, author: Column, url: Column, published_at: Colu
     return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
 
 
-def identities(rows: DataFrame) -> DataFrame:
-    """rows with kind and identity: the external id, else the detail url, else the fallback hash."""
+def identities(rows: DataFrame, fold: bool = False) -> DataFrame:
+    """rows with kind and identity: the external id (fold: in any case), else the detail url, else the fallback hash."""
     external, detail = F.nullif(F.trim("external_id"), F.lit("")), F.nullif(F.trim("detail_url"), F.lit(""))
+    external = F.lower(external) if fold else external
     kind = F.when(external.isNotNull(), "external_id").when(detail.isNotNull(), "detail_url").otherwise("record_hash")
     return rows.withColumns({"kind": kind, "identity": F.coalesce(external, detail, fallback_hash(F.col("title"), F.col("author"), F.col("url"), F.col("published_at")))})
 
@@ -136,14 +137,23 @@ def match_notices(notices: DataFrame, records: DataFrame) -> DataFrame:
     """records with the notice_id that they update (null: a new one).
 
     By external id alone if the record has one; else by detail url, whatever else the notice has; else by the hash among
-    notices that have neither.
+    notices that have neither. Where notices keep a record_hash, a record that nothing else finds takes the lowest notice without any
+    identity of the same title, author and date: one from before hashes were kept.
     """
     known = identities(notices).select(F.col("notice_id"), "site_id", "external_id", "detail_url", "kind", "identity")
     keys = known.filter("external_id is not null").select("site_id", F.lit("external_id").alias("kind"), F.trim("external_id").alias("identity"), "notice_id")
     keys = keys.unionByName(known.filter("detail_url is not null").select("site_id", F.lit("detail_url").alias("kind"), F.trim("detail_url").alias("identity"), "notice_id"))
     keys = keys.unionByName(known.filter("kind = 'record_hash'").select("site_id", "kind", "identity", "notice_id"))
     keys = keys.groupBy("site_id", "kind", "identity").agg(F.min("notice_id").alias("notice_id"))
-    return identities(records).join(keys, ["site_id", "kind", "identity"], "left")
+    found = identities(records).join(keys, ["site_id", "kind", "identity"], "left")
+    if "record_hash" not in notices.columns:
+        return found
+    same = ["site_id", "title", F.coalesce("author", F.lit("")).alias("_author"), F.coalesce(F.col("published_at").cast("string"), F.lit("")).alias("_date")]
+    old = notices.filter("external_id is null and detail_url is null and record_hash is null").select(*same, "notice_id")
+    old = old.groupBy("site_id", "title", "_author", "_date").agg(F.min("notice_id").alias("_old")).withColumn("_kind", F.lit("record_hash"))
+    keyed = found.select("*", *same[2:])
+    on = ["site_id", "title", "_author", "_date"]
+    return keyed.join(old, on, "left").withColumn("notice_id", F.coalesce("notice_id", F.when(F.col("kind") == F.col("_kind"), F.col("_old")))).select(found.columns)
 
 
 def collisions(matched: DataFrame) -> DataFrame:
@@ -174,7 +184,7 @@ def upsert_notices(notices: DataFrame, records: DataFrame, as_of: str, first_id:
 
 def first_of_identity(records: DataFrame, group: list[str], order: str) -> DataFrame:
     """Order-preserving deduplication: the first record of each identity in its group."""
-    return latest(identities(records), [*group, "kind", "identity"], F.col(order))
+    return latest(identities(records, fold=True), [*group, "kind", "identity"], F.col(order))
 
 
 def fan_out(new_notices: DataFrame, subscriptions: DataFrame, users: DataFrame, tokens: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -240,3 +240,15 @@ def candidate_features(s):
     f = C.features(given)
     rows = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").select(n.alias("api_index"), url.alias("api_url"), f.alias("f"), (e == "click").alias("sample_tells"))
     return rows.select("api_index", "api_url", *[F.col("f")[c].alias(c) for c in ("is_exact_target", "is_same_host", "looks_like_telemetry")], "sample_tells", *[F.col("f")[c].alias(c) for c in ("looks_like_non_content", "looks_like_static_asset", "has_title_key", "date_key_count", "legacy_endpoint_hint")])
+
+
+@query("", """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m-%d') WHEN 2 THEN strftime(d, '%Y-%m-%d') WHEN 3 THEN strftime(d, '%Y-%m-%d') WHEN 4 THEN strftime(d, '%Y-%m-%dT09:30:00') WHEN 5 THEN strftime(d, '%Y-%m-%d') WHEN 6 THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS published
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS d FROM orders)""")
+def normal_dates(s):
+    """Each order's date, ten years later, in one of eight forms; one of them names no day that exists."""
+    d, n = F.add_months(F.col("o_orderdate").cast("date"), 120), F.col("o_orderkey") % 8
+    forms = ["yyyy-MM-dd", "yyyy.M.d", "'on 'MMMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd'  09:30'", "yy'년 'M'월 'd'일'", "yyyy'.13.'d"]
+    shown = F.when(n == 7, (F.unix_seconds(d.cast("timestamp")) * 1000 + 1).cast("string"))
+    for i, form in enumerate(forms):
+        shown = shown.when(n == i, F.date_format(d, form))
+    return s.orders.select(F.col("o_orderkey").alias("id"), T.normal_dates(shown).alias("published"))

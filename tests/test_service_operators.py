@@ -55,3 +55,17 @@ def test_stream_of_observations(spark, tmp_path):
     assert got == {0: ("h0", "success", 0), 1: ("h1", "success", 0), 2: ("h0", "failed", 1), 3: ("h0", "success", 0)}
     run(spark.createDataFrame([(3, "h9", "failed")], "api_id bigint, observed_hash string, status string"), 0)  # a replay changes nothing
     assert {r["api_id"]: r["retry_count"] for r in snaps.table("states").collect()}[3] == 0
+
+
+def test_notices_from_before_hashes_are_found(spark):
+    """By title, author and date, the lowest id; not if the notice has an identity or the record has one."""
+    columns = "notice_id bigint, site_id bigint, title string, detail_url string, url string, external_id string, author string, published_at string, record_hash string"
+    notices = spark.createDataFrame([(1, 7, "a", None, "u1", None, None, None, "h"), (2, 7, "a", None, "u2", None, None, None, None), (3, 7, "a", None, "u3", None, "", None, None), (4, 7, "b", "d", "u", None, "x", "2024-01-01", None)], columns)
+    records = spark.createDataFrame([(7, "a", None, "new", None, "", None), (7, "b", None, "new", None, "x", "2024-01-01"), (7, "a", "d9", "new", None, None, None)], "site_id bigint, title string, detail_url string, url string, external_id string, author string, published_at string")
+    got = {(r.title, r.detail_url): r.notice_id for r in writes.match_notices(notices, records).collect()}
+    assert got == {("a", None): 2, ("b", None): None, ("a", "d9"): None}
+
+
+def test_identities_of_one_document_ignore_case(spark):
+    rows = spark.createDataFrame([(1, 0, "Ab", "t"), (1, 1, "aB", "t"), (1, 2, "c", "t")], "doc int, i int, external_id string, title string").withColumns({c: F.lit(None).cast("string") for c in ("detail_url", "author", "url", "published_at")})
+    assert sorted(r.i for r in writes.first_of_identity(rows, ["doc"], "i").collect()) == [0, 2]
