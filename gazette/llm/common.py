@@ -29,13 +29,29 @@ def local_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"gazette-{application}-")
 
 
+#: Folders of the tables that have been written and not been cleared.
+FOLDERS: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/gazette-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(df.sparkSession)}/gazette-{uuid.uuid4().hex}"
+    FOLDERS.append(folder)
+    path = f"{folder}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the written tables but those that keep reads. For callers that have written all results that were made of them."""
+    held = tuple(keep.inputFiles()) if keep is not None else ()
+    for folder in list(FOLDERS):
+        if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in held):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            FOLDERS.remove(folder)
+
+
 def keyed_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(_k, doc_id, text, _n): one row per document with a unique, never null bigint _k in the order of doc_id.
 

@@ -484,13 +484,18 @@ def kept_texts(keyed: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> Dat
 
 
 def shorten_documents(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
-    """The rows of docs without repeated bytes in text, with all columns of docs; n_chars, if there, is counted anew."""
+    """The rows of docs without repeated bytes in text, with all columns of docs; n_chars, if there, is counted anew.
+
+    The other columns travel as one struct, so that none of them can clash with a column of this module.
+    """
     keyed, odd = keyed_documents(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
     if odd:
-        full = docs.join(keyed.select("_k", F.col("doc_id").alias("_id"), F.col("text").alias("_text")), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["text"].eqNullSafe(F.col("_text"))).drop("_id", "_text", "text")
+        rows = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_words"))
+        keys = keyed.select("_k", F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
+        full = rows.join(keys, F.col("_id").eqNullSafe(F.col("_doc_id")) & F.col("_words").eqNullSafe(F.col("_text"))).select("_k", "_row")
     else:
-        full = docs.withColumn("_k", F.col("doc_id")).drop("text")
+        full = docs.select(F.col("doc_id").cast("bigint").alias("_k"), row)
     out = full.join(kept_texts(keyed, size, gram), "_k")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    new = {"text": F.col("text"), **({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return out.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

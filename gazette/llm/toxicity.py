@@ -42,6 +42,8 @@ PRIOR = 500.0
 #: A passage is significant if so many of its score or better are expected in a clean text of the same length.
 SIGNIFICANT = 0.05
 FOLDS = 5
+#: The score of a text without any passage, at most, however many of the training rows are toxic.
+NOTHING = 0.49
 
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_/\\"
 
@@ -76,7 +78,8 @@ class Model:
         a, b, c = self.logistic
         n, found = self.passages(text)
         x, y = features_of(n, [s for *_, s in found], self)
-        return float(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -40, 40))))
+        score = float(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -40, 40))))
+        return score if found else min(score, NOTHING)
 
 
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
