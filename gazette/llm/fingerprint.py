@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import keyed_documents, ordinals, repeat_rows, written
 
-SUM_LANES, SKETCH_LONGS, LANES_IN_LONG = 8, 15, 4
+SUM_LANES, SKETCH_LONGS, LANES_IN_LONG = 8, 30, 2
 #: Bits of a lane, and from one lane of a long to the next; the bit between takes the carry.
-LANE, STEP = 14, 15
+LANE, STEP = 30, 31
 SUM_MASK = (1 << 62) - 1
 LANE_MASK = sum(((1 << LANE) - 1) << (STEP * i) for i in range(LANES_IN_LONG))
 LANE_BITS = sum(1 << (STEP * i) for i in range(LANES_IN_LONG))
@@ -63,7 +63,7 @@ def text_of(vec: Column) -> Column:
 
 
 def lanes(vec: Column) -> Column:
-    """The sketch's lanes less their mean, doubled: an array of 60 longs in [-2^14, 2^14)."""
+    """The sketch's lanes less their mean, doubled: an array of 60 longs in [-2^30, 2^30)."""
     count = F.element_at(vec, WIDTH)
     parts = F.flatten(F.transform(F.slice(vec, SUM_LANES + 1, SKETCH_LONGS), lambda x: F.transform(F.array(*[F.lit(STEP * i) for i in range(LANES_IN_LONG)]), lambda i: F.call_function("shiftright", x, i).bitwiseAND((1 << LANE) - 1))))
     return F.transform(parts, lambda c: ((2 * c - count) + (1 << LANE)).bitwiseAND((2 << LANE) - 1) - (1 << LANE))
@@ -71,8 +71,8 @@ def lanes(vec: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Of two lane arrays, from 0 to 1; two zero arrays are alike."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a).cast("double") * dot(b, b))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / norm))).when(dot(a, a) + dot(b, b) == 0, 1.0).otherwise(0.0)
 
 
