@@ -49,6 +49,14 @@ def rule_rows(rules: list[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
     return sorted(rows.values())
 
 
+def by_path(rules: list[tuple]) -> tuple[list[int], dict[str, tuple[str, str]]]:
+    """The sizes of a host's rules' paths, longest first, and (rule, verdict) of each path; of equal paths the first."""
+    paths: dict[str, tuple[str, str]] = {}
+    for _, path, rule, verdict in rules:
+        paths.setdefault(path, (rule, verdict))
+    return sorted({len(p) for p in paths}, reverse=True), paths
+
+
 def sweep(rules: list[tuple[str, str, str, str]]):
     """A function of Arrow batches, sorted by key within the partition, that fills rule and verdict."""
 
@@ -65,20 +73,23 @@ def sweep(rules: list[tuple[str, str, str, str]]):
                 if key != last:
                     if at is None:  # the first key of the partition: open the intervals that began before it
                         dots = [j + 1 for j, c in enumerate(key) if c == "."][:-1]
-                        stack = [(k, rules[a:b]) for k in (key[:j] for j in dots) if (a := bisect_left(keys, k)) < (b := bisect_right(keys, k))]
+                        stack = [(k, by_path(rules[a:b])) for k in (key[:j] for j in dots) if (a := bisect_left(keys, k)) < (b := bisect_right(keys, k))]
                         at = bisect_left(keys, key)
                     while stack and not key.startswith(stack[-1][0]):
                         stack.pop()
                     while at < len(keys) and keys[at] <= key:
                         end = bisect_right(keys, k := keys[at])
                         if key.startswith(k):
-                            stack.append((k, rules[at:end]))
+                            stack.append((k, by_path(rules[at:end])))
                         at = end
                     last = key
-                for _, nested in stack:
-                    for _, start, rule, says in nested:
-                        if path.startswith(start) and (best[i] is None or len(rule) > len(best[i])):
-                            best[i], verdict[i] = rule, says
+                for _, (sizes, paths) in stack:
+                    # of a host's rules the longest path that starts the url's: one look for each size that paths have
+                    for size in sizes:
+                        if size <= len(path) and (found := paths.get(path[:size])):
+                            if best[i] is None or len(found[0]) > len(best[i]):
+                                best[i], verdict[i] = found
+                            break
             yield pa.RecordBatch.from_pydict(cols, schema=batch.schema)
 
     return run
