@@ -3,12 +3,13 @@
 A block of documents (BLOCK_BYTES of text) becomes one row: the words (matches of the pattern) that its task hasn't met
 before and, for each document, its words' numbers. Spark higher-order functions then fold the ranked merges over each word's bytes: every step
 looks up the ranks of all neighbouring pieces in a literal rank map and joins the first pair of the lowest rank. The
-blocks are put together again from the words' ids, and decoding concatenates the pieces that the ids stand for. Nothing
-is shuffled, and a task merges a word once.
+blocks are put together again from the words' ids, and decoding concatenates the binary pieces that the ids stand for. No text
+is shuffled, and a task merges a word once. The words of a bounded sample of the documents, of which each task would meet the frequent ones,
+are merged by the same fold beforehand and broadcast; the sample only saves work, as all other words are merged where they stand.
 
 The rank map is a literal of two arrays, indexed by the pair of neighbouring ids modulo their lengths, as a lookup in a
-Spark map reads all of it. In decoding, bytes are handled as the 256 characters of ISO-8859-1. Words of more than LONG_WORD bytes would need quadratic work in the fold;
-they are merged in the task by a heap of neighbouring pairs.
+Spark map reads all of it. The fold's work grows with the square of a word's length: words of more than LONG_WORD bytes, such as a
+megabyte without a space, are merged in the task by a heap of neighbouring pairs.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to an empty text. Rows are encoded one by one, repeated
 or with a null id alike. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -26,15 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .token_count import SAFE, SPLIT
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Words of a sample of the documents that are merged beforehand and sent to all tasks, at most; the sample has every SAMPLE_STEP-th
+#: document, and SAMPLE_DOCS at most.
+SHARED, SAMPLE_STEP, SAMPLE_DOCS = 400_000, 16, 200_000
 #: Distinct words that a task numbers before it starts again.
 WORDS = 1_000_000
-LONG_WORD = 48
+LONG_WORD = 512
 #: What the lookup gives for two pieces that can't be joined.
 NO_ID = 1 << 16
+#: An entry of the rank map that no pair has.
+EMPTY = 0
+#: Pieces that decoding concatenates at once.
+PIECES = 16
 
 
 @functools.cache
@@ -44,32 +53,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
-    """left id << 16 | right id -> id, for every way to put a piece together from two others."""
+    """(left id + 1) << 32 | right id << 16 -> id, for the last merge of every piece of more than one byte.
+
+    A piece inside a word comes about by the merges that it takes alone, as long as none of them crosses its ends. So it has one last
+    merge, and no other two pieces that spell it ever stand side by side.
+    """
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids of more than 16 bits")
     found = {}
     for piece, rank in ranks.items():
-        for i in range(1, len(piece)):
-            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
-            if left is not None and right is not None:
-                found[left << 16 | right] = rank
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            low, at = min((ranks.get(parts[i] + parts[i + 1], NO_ID), i) for i in range(len(parts) - 1))
+            if low == NO_ID:
+                break  # merges don't lead to this piece
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            found[ranks[parts[0]] + 1 << 32 | ranks[parts[1]] << 16] = rank
     return found
 
 
 def two_tables(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Cuckoo hashing: a key is in the first table at key % its length, or in the second. An entry is key << 16 | id, or 0."""
-    size = max(64, 2 * len(pairs))
+    """Cuckoo hashing: a pair is in the first table at pair % its length, or in the second. An entry is pair | id, or EMPTY."""
+    size = max(64, 4 * len(pairs))
     while True:
-        tables = [0] * (size | 1), [0] * ((size | 1) + 2)
-        for key, rank in pairs.items():
-            entry, side = key << 16 | rank, 0
+        tables = [EMPTY] * (size | 1), [EMPTY] * ((size | 1) + 2)
+        for pair, rank in pairs.items():
+            entry, side = pair | rank, 0
             for _ in range(500):
-                at = (entry >> 16) % len(tables[side])
+                at = (entry >> 16 << 16) % len(tables[side])
                 entry, tables[side][at] = tables[side][at], entry
-                if not entry:
+                if entry == EMPTY:
                     break
                 side = 1 - side
-            if entry:
+            if entry != EMPTY:
                 break
         else:
             return tables
@@ -80,41 +97,36 @@ class RankMap:
     """The literal rank map as two arrays, and the lookups of a pair of neighbours in them."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        tables = two_tables(pair_table(ranks))
-        self.sizes = [len(t) for t in tables]
-        self.tables = [F.from_json(F.lit(json.dumps(t)), "array<bigint>") for t in tables]
-
-    def id_of(self, key: Column) -> Column:
-        """The id of a joined pair, NO_ID where it can't be joined."""
-        first, second = (F.get(t, key % n) for t, n in zip(self.tables, self.sizes, strict=True))
-        same = lambda e: F.shiftright(e, 16) == key
-        low = lambda e: e.bitwiseAND(0xFFFF)
-        return F.when(same(first), low(first)).when(same(second), low(second)).otherwise(F.lit(NO_ID))
+        self.tables = two_tables(pair_table(ranks))
+        self.literals = [F.from_json(F.lit(json.dumps(t)), "array<bigint>") for t in self.tables]
 
-
-def bind(value: Column, body) -> Column:
-    """body of value, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    def ids_of(self, pairs: Column) -> Column:
+        """The id of each joined pair, NO_ID where it can't be joined. What is left of an entry without the pair is its id, if it is the pair's."""
+        rest = lambda pair, k: F.get(self.literals[k], pair % len(self.tables[k])).bitwiseXOR(pair)
+        return F.transform(pairs, lambda pair: F.least(rest(pair, 0), rest(pair, 1), F.lit(NO_ID)))
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """The ids of a word, given as the ids of its bytes (an array of bigint)."""
+    """The ids of a word, given as the ids of its bytes (an array of bigint).
+
+    A step looks up all neighbours and joins the first pair of the lowest rank; a word of n bytes takes n - 1 steps at most.
+    """
 
     def near(p: Column) -> Column:
-        keys = F.transform(p, lambda x, i: F.shiftleft(x, 16).bitwiseOR(F.get(p, i + 1)))
-        return F.transform(keys, ranks.id_of)
+        # the last piece's pair is null, which least() leaves out
+        return ranks.ids_of(F.transform(p, lambda x, i: F.shiftleft(x + 1, 32).bitwiseOR(F.shiftleft(F.get(p, i + 1), 16))))
 
-    def step(state: Column) -> Column:
-        p, found = state["p"], state["near"]
-        low = F.array_min(found)
-        at = F.array_position(found, low).cast("int")
-        joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
-        return F.when(low == NO_ID, state).otherwise(bind(joined, lambda q: F.struct(q.alias("p"), near(q).alias("near"))))
+    def once(value: Column, like: Column, body) -> Column:
+        # body(like, value) with value evaluated once; get(transform(...), 0) would derive body's type anew for every row
+        return F.aggregate(F.array(value), like, body)
 
-    # an empty word has no lowest rank: its state is null
-    start = F.struct(word.alias("p"), near(word).alias("near"))
-    state = F.aggregate(word, start, lambda acc, _: step(acc))
-    return F.when(F.size(word) > 0, state["p"]).otherwise(word)
+    def step(p: Column) -> Column:
+        return once(near(p), p, lambda p, found: once(F.array_min(found), p, lambda p, low: F.when(low == NO_ID, p).otherwise(join(p, low, found))))
+
+    def join(p: Column, low: Column, found: Column) -> Column:
+        return once(F.array_position(found, low).cast("int"), p, lambda p, at: F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
+
+    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, lambda p, _: step(p))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -154,14 +166,33 @@ def splitter(pattern: str):
     return regex.compile(pattern).findall
 
 
+def split(text: str, any_split, own: bool) -> list[str]:
+    return SPLIT.findall(text) if own and SAFE.fullmatch(text) else any_split(text)
+
+
+class Shared:
+    """The words that all tasks know: their numbers, and the ids of all, one after another. Sent as arrays, read once a worker."""
+
+    def __init__(self, words: list[str], ends, values):
+        import numpy as np
+
+        self.text, self.spaces, self.ends, self.values = "".join(words), np.cumsum([len(w) for w in words], dtype=np.int64), np.asarray(ends, np.int64), np.asarray(values, np.int32)
+
+    @functools.cached_property
+    def numbers(self) -> dict[str, int]:
+        at = [0, *self.spaces.tolist()]
+        return {self.text[a:b]: i for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))}
+
+
 class Blocks:
-    """Blocks of documents as numbers of words. Words are numbered anew after WORDS of them."""
+    """Blocks of documents as numbers of words: first those of shared, then the task's own, which start anew after WORDS of them."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, shared: dict[str, int]):
         import numpy as np
 
         self.ranks, self.any_split, self.own = read_ranks(path), splitter(pattern), pattern == public_tokenizers.PATTERN
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.shared = shared
         self.words: dict[str, int] = {}
         self.start()
 
@@ -173,9 +204,8 @@ class Blocks:
     def add(self, doc_id: int | None, text: str) -> None:
         import numpy as np
 
-        found = SPLIT.findall(text) if self.own and SAFE.fullmatch(text) else self.any_split(text)
-        known = self.words
-        self.codes.append(np.array([known[w] if w in known else known.setdefault(w, len(known)) for w in found], np.int32))
+        known, shared, n = self.words, self.shared, len(self.shared)
+        self.codes.append(np.array([shared[w] if w in shared else known[w] if w in known else known.setdefault(w, n + len(known)) for w in split(text, self.any_split, self.own)], np.int32))
         self.doc_ids.append(doc_id)
         self.bytes += len(text)
 
@@ -202,13 +232,16 @@ class Blocks:
 class Encodings:
     """The ids of the words met so far, put together to the documents'."""
 
-    def __init__(self):
+    def __init__(self, shared: Shared):
+        self.shared = shared
         self.reset()
 
     def reset(self) -> None:
         import numpy as np
 
-        self.starts, self.sizes, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        ends = self.shared.ends
+        self.sizes = np.diff(ends, prepend=0)
+        self.starts, self.values = ends - self.sizes, self.shared.values
 
     def learn(self, folded, longs) -> None:
         """Arrow lists of ids; where longs isn't null it has the word's."""
@@ -235,12 +268,56 @@ class Encodings:
         return self.values[at], ends
 
 
+def shared_words(docs: DataFrame, path: str, pattern: str) -> Shared:
+    """The words of the sample, merged: all, or those in the most of its documents if there are more than SHARED."""
+    step = max(SAMPLE_STEP, docs.count() // SAMPLE_DOCS)
+    sample = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        any_split, own, found = splitter(pattern), pattern == public_tokenizers.PATTERN, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(w for w in set(split(text.as_py() or "", any_split, own)) if len(w) <= LONG_WORD // 4)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
+
+    single = read_ranks(path)
+    single = [single[bytes([i])] for i in range(256)]
+
+    def to_bytes(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = np.array(single, np.int64)
+        for batch in batches:
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.frombuffer(b"".join(words), np.uint8)]))], ["word", "bytes"])
+
+    table = written(sample.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    least = 1
+    while (kept := table.filter(F.col("c") >= least)).count() > SHARED:
+        least += 1
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept.select("word").repartition(parts, "word").mapInArrow(to_bytes, "word string, bytes array<bigint>")
+    found = written(rows.select("word", fold_merges(F.col("bytes"), RankMap(read_ranks(path))).alias("ids")), "shared").toArrow().combine_chunks()
+    if not found.num_rows:
+        return Shared([], [], [])
+    ids = found.column("ids").combine_chunks()
+    ids = ids.chunk(0) if hasattr(ids, "num_chunks") else ids
+    return Shared(found.column("word").to_pylist(), ids.offsets.to_numpy()[1:] - ids.offsets[0].as_py(), ids.flatten().to_numpy())
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids (array of int) and ids_bytes (little-endian unsigned 32-bit) of each row."""
     path = path or public_tokenizers.path(VOCABULARY)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, path, pattern))
 
     def number_words(batches):
-        blocks = Blocks(path, pattern)
+        blocks = Blocks(path, pattern, shared.value.numbers)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blocks.add(doc_id, text.as_py() or "")
@@ -254,7 +331,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         import numpy as np
         import pyarrow as pa
 
-        known = Encodings()
+        known = Encodings(shared.value)
         for rows in batches:
             for row in range(rows.num_rows):
                 one = {n: rows.column(i)[row] for i, n in enumerate(rows.schema.names)}
@@ -279,13 +356,26 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes that an array of ids stands for: its pieces, concatenated."""
+    """The bytes that an array of ids stands for: its binary pieces, concatenated.
+
+    A concatenation copies what it is given, so PIECES are put together at a time, then PIECES of those, and once more.
+    """
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    pieces_of = [""] * (max(ranks.values()) + 1)
+    pieces_of = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces_of[rank] = piece.decode("latin-1")
-    table = F.from_json(F.lit(json.dumps(pieces_of)), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")
+        pieces_of[rank] = piece
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces_of])), "array<binary>")
+    nothing = F.lit(b"")
+
+    def by_parts(pieces: Column, piece) -> Column:
+        places = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(PIECES))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(*[F.coalesce(piece(F.get(pieces, i + k)), nothing) for k in range(PIECES)]))
+
+    def joined(pieces: Column, levels: int) -> Column:
+        whole = lambda p: F.aggregate(p, nothing, lambda all_, x: F.concat(all_, x)) if levels == 0 else joined(by_parts(p, lambda x: x), levels - 1)
+        return F.aggregate(F.array(pieces), nothing, lambda _, p: whole(p))
+
+    return joined(by_parts(ids, lambda i: F.get(table, i)), 2)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -327,8 +327,13 @@ def test_shards_fit(docs, texts):
 def test_two_tables_hold_every_pair():
     pairs = bpe.pair_table(ranks())
     one, two = bpe.two_tables(pairs)
-    for key, rank in list(pairs.items())[::97]:
-        assert key << 16 | rank in (one[key % len(one)], two[key % len(two)])
+    for pair, rank in list(pairs.items())[::97]:
+        assert pair | rank in (one[pair % len(one)], two[pair % len(two)])
+
+
+def test_every_piece_has_its_last_merge():
+    """One pair for each piece of more than a byte: the merges lead to all of this vocabulary."""
+    assert sorted(bpe.pair_table(ranks()).values()) == sorted(r for p, r in ranks().items() if len(p) > 1)
 
 
 def test_ranks_are_read(tmp_path):
