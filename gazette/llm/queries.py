@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, neardup, packing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter
+from . import best_fit, bpe, fingerprint, neardup, packing, periodic, quality, sharding, spelling, suffix_dedup, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op9_near_duplicates, op10_sharding)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), edit=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_quality_rules, op2_token_counts, op3_url_filters, op4_suffix_dedup, op5_fingerprints, op6_packing, op7_byte_bpe, op8_toxicity, op9_near_duplicates, op10_sharding,
+    op11_spelling_variants, op12_periodic_runs, op13_best_fit_packing,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 FEATURES_SQL = """
 words AS (
