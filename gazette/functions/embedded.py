@@ -11,7 +11,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .records import Tree, best_array, json_notices
+from . import json_records
+from .records import Tree
 
 #: Fixed patterns: where a page's state begins.
 ASSIGNED = re.compile(r"(?:window|globalThis)(?:\.[A-Za-z_$][\w$]*|\[[\"'][\w$]+[\"']\])\s*=\s*")
@@ -75,27 +76,22 @@ def candidates(html: str):
                 yield from inner_json(root, budget)
 
 
-def embedded_notices(html: str | None, base: str) -> list[dict]:
-    """The notices of the candidate with the most records."""
-    best, most = None, 0
-    for value in candidates(html or ""):
-        found = best_array(value)
-        if found and len(found[1]) > max(most, 1):
-            best, most = value, len(found[1])
-    return json_notices(json.dumps(best), base) if best is not None else []
-
-
-def extract_embedded(docs: DataFrame, doc_id: str, body: str, base: str) -> DataFrame:
-    """As records.extract, from scripts."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).alias("body"), F.coalesce(F.col(base), F.lit("")).alias("base"))
-    names = ["record_index", "title", "author", "detail_url", "external_id", "published_at"]
+def values_of(docs: DataFrame, doc_id: str, body: str, base: str) -> DataFrame:
+    """(doc_id, base, value, body): the JSON values of each document's scripts, numbered."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(base), F.lit("")).alias("base"), F.col(body).alias("body"))
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("record_index", pa.int32()), *[(n, pa.string()) for n in names[1:]]])
+        schema = pa.schema([("doc_id", pa.int64()), ("base", pa.string()), ("value", pa.int32()), ("body", pa.string())])
         for batch in batches:
-            out = [{"doc_id": doc, **{n: r[n] for n in names}} for doc, text, url in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in embedded_notices(text, url)]
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for doc, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [{"doc_id": doc, "base": url, "value": i, "body": json.dumps(v, ensure_ascii=False)} for i, v in enumerate(candidates(text or ""))]
+                yield pa.RecordBatch.from_pylist(found, schema)
 
-    return rows.mapInArrow(run, "doc_id bigint, record_index int, title string, author string, detail_url string, external_id string, published_at string")
+    return rows.mapInArrow(run, "doc_id bigint, base string, value int, body string")
+
+
+def extract_embedded(docs: DataFrame, doc_id: str, body: str, base: str) -> DataFrame:
+    """As records.extract, from scripts: of the value with the most records."""
+    return json_records.extract_any(values_of(docs, doc_id, body, base)).drop("url", "source_path")

@@ -12,9 +12,11 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .records import Node, Tree, groups, in_navigation
-from .text import absolute, canonical, squeeze
+from . import urls
+from .text import squeeze
 
 GROUPS, RECORDS, CHARS = 4, 3, 24_000
 #: What is left out of kept fragments, and the attributes that stay.
@@ -131,23 +133,23 @@ def value_of(expression: str, known: dict[str, str]) -> str | None:
     return "".join(out) or None
 
 
-def navigation(node: Node, scripts: str, base: str) -> str | None:
-    """Where an element leads: its link, a data attribute, or its handler."""
+def navigation(node: Node, scripts: str) -> str | None:
+    """Where an element leads, as it stands there: its link, a data attribute, or its handler."""
     href = node.attrs.get("href", "").strip()
     if href and not href.startswith("#") and not href.lower().startswith("javascript:"):
-        return canonical(absolute(base, href))
+        return href
     for name in ("data-href", "data-url", "data-link"):
         if node.attrs.get(name):
-            return canonical(absolute(base, node.attrs[name]))
+            return node.attrs[name]
     handler = node.attrs.get("onclick") or (href if href.lower().startswith("javascript:") else "")
     data = {"this.dataset." + re.sub("-(.)", lambda m: m[1].upper(), k[5:]): v for k, v in node.attrs.items() if k.startswith("data-")}
     if direct := TARGET.search(handler):
-        return canonical(absolute(base, value_of(direct[1], data)))
+        return value_of(direct[1], data)
     call = CALL.match(handler)
     values = arguments(call[2]) if call else None
     found = function_text(scripts, call[1]) if values is not None else None
     if found and (target := TARGET.search(found[1])) and len(found[0]) >= len(values):
-        return canonical(absolute(base, value_of(target[1], dict(zip(found[0], values, strict=False)))))
+        return value_of(target[1], dict(zip(found[0], values, strict=False)))
     return None
 
 
@@ -158,8 +160,8 @@ def links(text: str | None, base: str) -> list[dict]:
     out = []
     for n in root.walk():
         if n.attrs.get("href") or n.attrs.get("onclick") or any(k in n.attrs for k in ("data-href", "data-url", "data-link")):
-            if url := navigation(n, scripts, base):
-                out.append({"place": len(out), "label": n.text(), "target": url, "argument": (handler_values(n.attrs.get("onclick", "")) or [None])[-1]})
+            if target := navigation(n, scripts):
+                out.append({"place": len(out), "label": n.text(), "target": target, "base": base, "argument": (handler_values(n.attrs.get("onclick", "")) or [None])[-1]})
     return out
 
 
@@ -185,7 +187,11 @@ def structure_samples(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
 
 
 def document_links(docs: DataFrame, doc_id: str, body: str, base: str) -> DataFrame:
-    return rows_per_document(docs, doc_id, body, base, links, "place int, label string, target string, argument string")
+    """(doc_id, place, label, target, argument) of the elements that lead to a web page, numbered within their document."""
+    rows = rows_per_document(docs, doc_id, body, base, links, "place int, label string, target string, base string, argument string")
+    rows = rows.withColumn("target", urls.canonical(urls.absolute(F.col("base"), F.col("target")))).filter("target IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
+    return rows.select("doc_id", place.alias("place"), "label", "target", "argument")
 
 
 def volatile_ids(rows: DataFrame, group: str, value: str) -> DataFrame:

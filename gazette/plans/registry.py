@@ -17,6 +17,7 @@ from ..functions import records as J
 from ..functions import safety as S
 from ..functions import structure as N
 from ..functions import text as T
+from ..functions import urls as U
 from ..functions.rules import JsonRule, execute
 from ..operators import decisions as D
 from ..operators import reads as R
@@ -483,14 +484,21 @@ def same_host(s):
     return s.pages.select("page_id", (host == "blog.tionsh.example.net").alias("same"))
 
 
-@query()
+#: The pages' urls, some wrapped as the target of a redirect.
+WRAPPED = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat('https://go.example/out?utm_medium=m&return_url=', url_encode(url)) WHEN 1 THEN concat('HTTPS://Go.Example:443/out?x=1&url=', url_encode(url_encode(url)), '#f') ELSE url END AS url FROM {pages}"
+URL_PARTS = """regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS items FROM pages"""
+
+
+@query("", f"""SELECT page_id, lower(site) || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/+', '/', 'g') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canonical
+  FROM (SELECT page_id, site, path, list_distinct(list_filter(items, lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS kept FROM (SELECT page_id, {URL_PARTS}))""")
 def canonical_url(s):
-    return s.pages.select("page_id", T.canonical_urls("url").alias("canonical"))
+    return s.spark.sql(WRAPPED, pages=s.pages).select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
-@query()
+@query("", f"""SELECT page_id, lower(site) || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS redacted
+  FROM (SELECT page_id, site, path, list_distinct(list_transform(list_filter(items, lambda x: x <> ''), lambda x: split_part(x, '=', 1) || '=')) AS kept FROM (SELECT page_id, {URL_PARTS}))""")
 def redact_url(s):
-    return s.pages.select("page_id", T.redacted_urls("url").alias("redacted"))
+    return s.pages.select("page_id", U.redacted(F.col("url")).alias("redacted"))
 
 
 @query("", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || CASE WHEN rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') END AS plain FROM pages")
@@ -508,27 +516,29 @@ def json_rule_extract(s):
     return J.json_rule(s.events.select("event_id", "props"), "props", {"k": "$.k", "title": "$.items[0].title"}).select("event_id", "k", "title")
 
 
-EXTRACTED = """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS record_index, concat('Order ', o_orderkey) AS title, o_orderpriority AS author,
+EXTRACTED = """SELECT o_custkey * 1000000 + o_orderkey // 4096 AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS INTEGER) AS record_index, concat('Order ', o_orderkey) AS title, o_orderpriority AS author,
   concat('https://shop.example/orders/', o_orderkey) AS detail_url, CAST(o_orderkey AS VARCHAR) AS external_id, strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m-%d') AS published_at FROM orders"""
 LATER = "o_orderdate + INTERVAL 10 YEARS"
+#: A page of a customer's orders holds those of 4096 successive order keys, so that none grows with the customer.
+PAGE = "o_custkey * 1000000 + o_orderkey div 4096"
 
 
 @query("", EXTRACTED)
 def json_extract(s):
     """Records of JSON documents that hold each customer's orders."""
     record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"), F.concat(F.lit("/orders/"), F.col("o_orderkey"), F.lit("?utm_source=x")).alias("viewUrl"))
-    docs = s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body")).withColumn("base", F.lit("https://shop.example/list"))
-    return J.extract(docs, "o_custkey", "body", "base").drop("url", "source_path")
+    docs = s.orders.groupBy(F.expr(PAGE).alias("page")).agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body")).withColumn("base", F.lit("https://shop.example/list"))
+    return J.extract(docs, "page", "body", "base").drop("url", "source_path")
 
 
-@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2"))
+@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderkey // 4096) >= 2"))
 def html_extract(s):
     """Records of HTML documents that list each customer's orders between navigation and other blocks."""
     row = F.format_string('<tr class="row" data-no="%d"><td><a href="/orders/%d#top">Order %d</a></td><td class="writer">%s</td><td><time datetime="%s">x</time></td></tr>', "o_orderkey", "o_orderkey", "o_orderkey", "o_orderpriority", F.date_format(F.expr(LATER), "yyyy-MM-dd"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("html")))), lambda x: x["html"])
     page = F.concat(F.lit("<html><body><nav><ul><li><a href='/a'>Home page</a></li><li><a href='/b'>All of it</a></li><li><a href='/c'>More</a></li></ul></nav><div><p>Text<br>more</div><table>"), F.array_join(rows, ""), F.lit("</table></body>"))
-    docs = s.orders.groupBy("o_custkey").agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list"))
-    return J.extract(docs, "o_custkey", "body", "base").drop("url", "source_path")
+    docs = s.orders.groupBy(F.expr(PAGE).alias("page")).agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list"))
+    return J.extract(docs, "page", "body", "base").drop("url", "source_path")
 
 
 @query("", "SELECT event_id, CAST(CASE WHEN event_type = 'view' THEN date_trunc('hour', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 1 MINUTE) WHEN event_type = 'click' THEN date_trunc('hour', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 1 HOUR) WHEN event_type = 'error' THEN date_trunc('day', TIMESTAMP '2024-01-20 10:30:00' - (event_id % 50) * INTERVAL 30 DAY) ELSE date_trunc('day', TIMESTAMP '2024-01-20 10:30:00') END AS VARCHAR) AS at FROM events")
@@ -540,13 +550,13 @@ def relative_times(s):
 def order_documents(s):
     """JSON documents that hold each customer's orders."""
     record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order  "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"))
-    return s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body"))
+    return s.orders.groupBy(F.expr(PAGE).alias("page")).agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(record)).alias("items")).alias("response"))).alias("body"))
 
 
-@query("", EXTRACTED.replace("o_custkey AS doc_id", "o_custkey AS doc_id").replace("concat('https://shop.example/orders/', o_orderkey)", "concat('https://shop.example/o/', replace(o_orderpriority, ' ', '%20'), '/', o_orderkey)"))
+@query("", EXTRACTED.replace("concat('https://shop.example/orders/', o_orderkey)", "concat('https://shop.example/o/', replace(o_orderpriority, ' ', '%20'), '/', o_orderkey)"))
 def json_rule_execute(s):
     rule = JsonRule("$.response.items", {"title": "$.title", "author": "$.writer", "external_id": "$.id", "published_at": "$.regDate"}, {"detail_url": ("/o/{kind}/{key}", {"kind": "$.writer", "key": "$.id"})})
-    return execute(order_documents(s), rule, "o_custkey", "body", "https://shop.example/list")
+    return execute(order_documents(s), rule, "page", "body", "https://shop.example/list")
 
 
 @query("", """SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN starts_with(h, '{') THEN 'json_object' WHEN starts_with(h, '[') THEN 'json_array' WHEN starts_with(h, '<') THEN 'html' WHEN regexp_matches(h, '^[A-Za-z_$][0-9A-Za-z_.$]*[ \\t\\n]*\\(') THEN 'jsonp_wrapper'
@@ -599,15 +609,15 @@ def source_view_checks(s):
     return s.part.select(F.col("p_partkey").alias("id"), F.array_join(C.view_reasons(raw, view, size % 7 == 0), ",").alias("reasons"))
 
 
-@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2"))
+@query("", EXTRACTED.replace("FROM orders", "FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderkey // 4096) >= 2"))
 def embedded_extract(s):
     """Records of HTML pages that carry each customer's orders as the state of a script."""
     record = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.col("o_orderpriority").alias("writer"), F.date_format(F.expr(LATER), "yyyy.MM.dd").alias("regDate"), F.concat(F.lit("/orders/"), F.col("o_orderkey")).alias("url"))
-    docs = s.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("list"))).alias("body"))
+    docs = s.orders.groupBy(F.expr(PAGE).alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(record)).alias("list"))).alias("body"))
     head = '<html><head><script type="application/ld+json">{"a": [{"title": "x"}, {"title": "y"}, {"title": "z"}]}</script></head><body>'
-    state = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("<script>window.__STATE__ = "), F.col("body"), F.lit("; go()</script>"))).otherwise(F.concat(F.lit('<script type="application/json" id="x">'), F.col("body"), F.lit("</script>")))
-    pages = docs.select("o_custkey", F.concat(F.lit(head), state).alias("html"), F.lit("https://shop.example/list").alias("base"))
-    return E.extract_embedded(pages, "o_custkey", "html", "base")
+    state = F.when(F.col("page") % 2 == 0, F.concat(F.lit("<script>window.__STATE__ = "), F.col("body"), F.lit("; go()</script>"))).otherwise(F.concat(F.lit('<script type="application/json" id="x">'), F.col("body"), F.lit("</script>")))
+    pages = docs.select("page", F.concat(F.lit(head), state).alias("html"), F.lit("https://shop.example/list").alias("base"))
+    return E.extract_embedded(pages, "page", "html", "base")
 
 
 @query("", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'PORT' WHEN 1 THEN 'USERINFO' WHEN 2 THEN 'ADDRESS' END AS refusal FROM pages")
@@ -632,7 +642,7 @@ def structure_sample(s):
     return N.structure_samples(s.pages, "page_id", "html")
 
 
-@query("", "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, concat('Order ', o_orderkey) AS label, concat('https://shop.example/view?id=', o_orderkey) AS target, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS argument FROM orders")
+@query("", "SELECT o_custkey * 1000000 + o_orderkey // 4096 AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS INTEGER) AS place, concat('Order ', o_orderkey) AS label, concat('https://shop.example/view?id=', o_orderkey) AS target, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS argument FROM orders")
 def navigation_resolve(s):
     """Links of pages that list each customer's orders: by a function, by an assignment or plainly."""
     key = F.col("o_orderkey").cast("string")
@@ -641,7 +651,7 @@ def navigation_resolve(s):
     row = row.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("<li><a onclick=\"location.href='/view?id=' + encodeURIComponent(this.dataset.key)\" data-key=\""), key, F.lit('"'), label)).otherwise(F.concat(F.lit('<li><a href="/view?id='), key, F.lit('&amp;utm_medium=x"'), label))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("html")))), lambda x: x["html"])
     page = F.concat(F.lit("<script>function goView(id) { if (id) { track(id); } location.href = '/view?id=' + id; }</script><ul>"), F.array_join(rows, ""), F.lit("</ul>"))
-    return N.document_links(s.orders.groupBy("o_custkey").agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list")), "o_custkey", "body", "base")
+    return N.document_links(s.orders.groupBy(F.expr(PAGE).alias("page")).agg(page.alias("body")).withColumn("base", F.lit("https://shop.example/list")), "page", "body", "base")
 
 
 @query("", "SELECT DISTINCT p_brand, concat('item-', p_size) AS id FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1)")
