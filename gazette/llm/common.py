@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
@@ -29,27 +31,39 @@ def local_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"gazette-{application}-")
 
 
-#: Folders of the tables that have been written and not been cleared.
-FOLDERS: list[str] = []
+#: The folders that written() has made within the scopes that are open, the innermost last. Each thread has its own.
+SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scope():
+    """A list of the folders that written() makes in this block and thread, in inner blocks too. Other callers' tables are not in it."""
+    folders: list[str] = []
+    token = SCOPES.set((*SCOPES.get(), folders))
+    try:
+        yield folders
+    finally:
+        SCOPES.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, so that a lost executor costs no recomputation."""
     folder = f"{shared_dir(df.sparkSession)}/gazette-{uuid.uuid4().hex}"
-    FOLDERS.append(folder)
+    for folders in SCOPES.get():
+        folders.append(folder)
     path = f"{folder}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes the written tables but those that keep reads. For callers that have written all results that were made of them."""
+def clear(spark: SparkSession, folders: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes the folders of a scope but those that keep reads. For callers that have written all results that were made of them."""
     held = tuple(keep.inputFiles()) if keep is not None else ()
-    for folder in list(FOLDERS):
+    for folder in list(folders):
         if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in held):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            FOLDERS.remove(folder)
+            folders.remove(folder)
 
 
 def keyed_documents(docs: DataFrame) -> tuple[DataFrame, bool]:

@@ -16,8 +16,8 @@ piece. Only pieces whose hash occurs with another piece can hold a repeat. Three
 Finally texts and removed ranges meet by document; the texts' exchange is that of step 2.
 
 Hot groups: a batch's equal pieces are reduced to their first before they are shuffled. A gram with more than
-GROUP pieces sends single windows instead, keyed by their own hashes and reduced to a batch's first, so that no group grows
-with a passage's spread.
+GROUP pieces sends single windows instead, keyed by their own hashes and reduced to a slice's first. Windows of one key stream
+through their task in the order of their places: it holds the first, compares the others with it byte by byte, and they are repeats.
 
 Order: a document of smaller id is earlier, in a document the smaller place. Nulls and edge cases: a null text has 0
 bytes. Texts under MIN_BYTES are never cut. Matches never cross documents. Rows that repeat doc_id and text are one document, whose row is
@@ -208,7 +208,7 @@ def decide(out, hot, key, doc, start, n):
 def cut_bytes(size: int):
     """Step 2: of documents with their lists of pieces, the removed ranges and the bytes to compare (key, doc, start, n, bytes).
 
-    Single windows are keyed by their own hash; of a batch's equal ones only the first is compared.
+    Single windows are keyed by their own hash and marked by n = 0; of a batch's equal ones only the first is compared.
     """
 
     def run(batches):
@@ -245,7 +245,7 @@ def cut_bytes(size: int):
                 d, s, a, h = (c[order] for c in (d, s, a, h))
                 first = first_of_each(h)
                 yield from rows_of(names, spread(d[~first], s[~first]), d[~first], s[~first], np.ones((~first).sum(), np.int64), None)
-                yield from rows_of(names, h[first].view(np.int64), d[first], s[first], np.ones(first.sum(), np.int64), [values[i : i + size].tobytes() for i in a[first]])
+                yield from rows_of(names, h[first].view(np.int64), d[first], s[first], np.zeros(first.sum(), np.int64), [values[i : i + size].tobytes() for i in a[first]])
 
     def rows_of(names, key, doc, start, n, blobs):
         for i in range(0, len(key), 20_000):
@@ -345,14 +345,34 @@ def repeated_windows(blobs: list[bytes], doc: np.ndarray, start: np.ndarray, n:
     return d[again][later], s[again][later]
 
 
+class Windows:
+    """Single windows, as they come sorted by key, doc and start: holds the different windows of the last key, nearly always one."""
+
+    def __init__(self):
+        self.key, self.firsts = None, set()
+
+    def repeats(self, key: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """Which windows equal an earlier one."""
+        again = np.zeros(len(key), bool)
+        for i, (k, b) in enumerate(zip(key.tolist(), blobs, strict=True)):
+            if k != self.key:
+                self.key, self.firsts = k, {b}
+            elif b in self.firsts:
+                again[i] = True
+            else:
+                self.firsts.add(b)
+        return again
+
+
 def compare_pieces(size: int):
-    """Step 3, sorted by key: the removed ranges (doc, start, n), those from before and those found."""
+    """Step 3, sorted by key, doc and start: the removed ranges (doc, start, n), those from before and those found."""
 
     def run(batches):
         import pyarrow as pa
 
         held: list[tuple] = []  # keys, docs, starts, windows and bytes not yet compared
         held_bytes = 0
+        windows = Windows()
 
         def out(doc, start, n):
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(n, np.int32))], ["doc", "start", "n"])
@@ -380,7 +400,11 @@ def compare_pieces(size: int):
             old = np.asarray(blobs.is_null())
             if old.any():
                 yield out(doc[old], start[old], n[old])
-            some = np.flatnonzero(~old)
+            single = np.flatnonzero(~old & (n == 0))
+            if len(single):
+                again = single[windows.repeats(key[single], blobs.take(pa.array(single)).to_pylist())]
+                yield out(doc[again], start[again], np.ones(len(again), np.int32))
+            some = np.flatnonzero(~old & (n > 0))
             if not len(some):
                 continue
             held.append((key[some], doc[some], start[some].astype(np.int64), n[some].astype(np.int64), blobs.take(pa.array(some)).to_pylist()))
@@ -410,7 +434,7 @@ def removed_ranges(texts: DataFrame, direct: DataFrame, size: int, gram: int) ->
     rows = rows.mapInArrow(judge_pieces, "kind tinyint, key bigint, doc bigint, start int, n smallint")
     lists = rows.groupBy(F.col("doc").alias("_k")).agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("pieces"))
     rows = texts.join(lists, "_k").mapInArrow(cut_bytes(size), "key bigint, doc bigint, start int, n int, bytes binary")
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "doc", "start")
     rows = rows.mapInArrow(compare_pieces(size), "doc bigint, start int, n int")
     return rows.groupBy(F.col("doc").alias("_k")).agg(F.collect_list(F.struct("start", "n")).alias("removed"))
 

@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import hashing
 from .common import written
@@ -272,7 +273,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Dat
             score = pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), score], ["_row", "_score"])
 
-    return base.mapInArrow(apply, f"_row {base.schema['_row'].dataType.simpleString()}, _score double")
+    return base.mapInArrow(apply, StructType([base.schema["_row"], StructField("_score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from gazette.llm import bpe, fingerprint, neardup, quality, sharding, suffix_dedup, token_count, toxicity, url_filter
 from pyspark.sql import functions as F
@@ -133,3 +134,55 @@ def test_toxicity_of_near_copies_and_more_labels_than_the_bound(spark):
     got = toxicity.scored(docs, model).select("_row.doc_id", "_score").join(marks, "doc_id").toPandas()
     assert (got[got["toxic"] == 1]["_score"] >= 0.5).mean() > 0.9
     assert (got[got["toxic"] == 0]["_score"] >= 0.5).mean() < 0.02
+
+
+def test_windows_of_one_key_stream_through_their_task():
+    """A million windows of one key, with one of other bytes among them, take little memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gazette.llm import suffix_dedup
+
+    window, other = b"x" * 100, b"y" * 100
+
+    def batches():
+        for k in range(200):
+            doc = np.arange(k * 5000, k * 5000 + 5000, dtype=np.int64)
+            blobs = [other if d == 7 or d == 999_999 else window for d in doc]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(5000, 3, np.int64)), pa.array(doc), pa.array(np.full(5000, 4, np.int32)), pa.array(np.zeros(5000, np.int32)), pa.array(blobs, pa.binary())], ["key", "doc", "start", "n", "bytes"])
+
+    tracemalloc.start()
+    removed = [np.asarray(out.column(0)) for out in suffix_dedup.compare_pieces(100)(batches())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert set(range(1_000_000)) - set(np.concatenate(removed).tolist()) == {0, 7}
+
+
+@pytest.mark.parametrize("stage", ["quality", "toxicity", "neardup", "suffix_dedup"])
+def test_columns_whose_names_are_no_identifiers(spark, stage):
+    from gazette.llm import neardup, quality, suffix_dedup, toxicity
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", "1 AS `my col`", "2 AS `a.b`", "3 AS `a-b`", "4 AS `x:y`", "5 AS `ünï`")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    keep = {"quality": quality.keep_documents, "toxicity": lambda d: toxicity.keep_documents(d, labels), "neardup": neardup.keep_documents, "suffix_dedup": suffix_dedup.shorten_documents}[stage]
+    out = keep(docs)
+    assert out.columns == docs.columns
+    assert out.count() > 0
+
+
+def test_a_scope_holds_its_own_tables_only(spark):
+    """What one caller clears leaves another's lazy result readable."""
+    from gazette.llm import neardup
+    from gazette.llm.common import clear, scope
+
+    docs = spark.createDataFrame([(i, f"{i} a b c d e f g") for i in range(30)], "doc_id bigint, text string")
+    lazy = neardup.near_duplicates(docs)
+    with scope() as folders:
+        kept = neardup.keep_documents(docs)
+        assert kept.count() == 30 and folders
+        clear(spark, folders)
+        assert not folders
+    assert lazy.count() == 30

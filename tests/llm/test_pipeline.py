@@ -46,3 +46,13 @@ def test_odd_documents(spark):
     assert sorted(str(r.doc_id) for r in neardup.keep_documents(docs).collect()) == ["7", "None"]
     cut = suffix_dedup.shorten_documents(docs)
     assert cut.dtypes == docs.dtypes and cut.count() == 4
+
+
+def test_a_run_leaves_other_results_readable(spark):
+    """A lazy result of another query still reads its tables after the pipeline has deleted its own."""
+    from gazette.llm import queries
+
+    lazy = queries.op9_near_duplicates(spark, SMALL)
+    before = lazy.count()
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    assert lazy.count() == before
