@@ -2,7 +2,8 @@
 
 STAGES lists (name, function). A function takes (spark, docs, sf_dir), with docs the whole output of the stage before (the
 first takes the table documents), and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's result as Parquet in the shared folder and reads it again for the next; a stage's own tables are deleted then.
+writes each stage's result as Parquet in the shared folder and reads it again for the next; the tables that the stage itself wrote are
+deleted then. Tables of other queries, in this session or another, are left alone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gazette.llm import neardup, packing, quality, suffix_dedup, toxicity
-from gazette.llm.common import clear, written
+from gazette.llm.common import clear, scope, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        clear(spark, keep=docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scope() as folders:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+            clear(spark, folders, keep=docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
