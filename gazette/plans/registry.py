@@ -659,4 +659,4 @@ def volatile_html_ids(s):
     return N.volatile_ids(s.part.select("p_brand", F.concat(F.lit("item-"), F.col("p_size")).alias("id")), "p_brand", "id")
 
 
-from . import lifecycle_queries  # noqa: E402, F401  registers its queries
+from . import lifecycle_queries, outcome_queries  # noqa: E402, F401  register their queries
