@@ -10,10 +10,12 @@ written once, a row for each class and bucket. Links are found in two steps, who
 1. Stars, in ROUNDS rounds of another order each: in every bucket that holds more than one component, the documents of other
    components than the bucket's first document's may be compared with it; a document takes the one that it meets in most
    buckets. The links that the full sets confirm are joined to components.
-2. All documents that still share a bucket with another component are compared, within each bucket and across components only.
-   Refused are pairs whose set sizes or bitmaps (parities of the set's shares) exclude the similarity. First the nearest pair of
-   each two components goes to the full sets, then all pairs that are left. A bucket of more than BLOCK rows is dealt in
-   cells: its largest component in blocks, each of which meets each block of the others.
+2. The documents that still share a bucket with another component are joined exactly, by prefixes: their shingles are put in one order,
+   rare ones first, and two sets that are similar enough share a shingle of the smaller one's first ninth and the larger one's first
+   fifth. So what many documents have in common comes last in all of them and makes no candidates, and the rows are a
+   fifth of the sets at most, however many documents share a template. Documents that share such a shingle are compared across components
+   only; set sizes, the shingles that are left behind the shared one and bitmaps (parities of the set's shares) exclude the others. First
+   the nearest pair of each two components goes to the full sets, then all pairs that are left.
 
 So every two documents that share a bucket are linked through others, compared on the full sets or excluded for certain. Nothing is
 capped, and nothing depends on how rows are dealt to tasks. Components grow by the smallest label and pointer jumping.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import binary_text, few, keyed_documents, repeat_rows, written
+from .common import binary_text, few, keyed_documents, repeat_rows, small_batches, written
 
 #: Similarity from which documents are linked, in percent.
 PERCENT = 80
@@ -46,8 +48,11 @@ WORDS = 2
 WANTED = 300_000
 #: Rounds of stars.
 ROUNDS = 2
-#: Rows of a bucket that meet in a task, and 64-bit words of a set's bitmap.
+#: Rows of a shingle that meet in a task, and 64-bit words of a set's bitmap.
 BLOCK, BITMAP = 500, 16
+#: A shingle of fewer documents counts as rare; of others, COMMON at most have a place by their count in the order of shingles. Any order is
+#: right: a better one makes fewer candidates.
+RARE, COMMON = 8, 1_000_000
 #: Texts that a task compares with one parent, at most.
 CHILDREN = 64
 PART_BYTES = 1 << 19
@@ -231,36 +236,112 @@ def grouped(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     return rows.join(joined.select(F.col("node").alias("_k"), F.col("component").alias("group")), "_k", "left").withColumn("group", F.coalesce("group", "_k"))
 
 
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles of RARE documents or more of (_k, text, ...) with their counts; if they are over COMMON, the most frequent ones."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in small_batches([batch], limit=PART_BYTES * 8):
+                sets = list(shingle_sets(*binary_text(part), width))
+                tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+    counts = texts.select("_k", "text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts, least = written(counts.filter(F.col("n") >= RARE), "counts"), RARE
+    while counts.filter(F.col("n") >= least).count() > COMMON:
+        least *= 2
+    found = counts.filter(F.col("n") >= least).toArrow()
+    tokens, n = np.asarray(found.column("token")).view(np.uint64), np.asarray(found.column("n"))
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of their counts, as many as a larger set needs, and how many of them a smaller one needs.
+
+    A set of n that is similar to one at least as large shares 8 n / 9 shingles with it (at 0.8), and one at most as large 4 n / 5.
+    """
+    n = len(shingles)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        counts = np.where(common[0][at] == shingles, common[1][at], 0)
+        shingles = shingles[np.lexsort((shingles, counts))]
+    as_larger = n + (-PERCENT * n // 100) + 1
+    as_smaller = n + (-2 * PERCENT * n // (100 + PERCENT)) + 1
+    return shingles[:as_larger], as_smaller
+
+
+def prefix_rows(keyed: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(key, _k, n, group, rest, short): the prefixes of the documents of members (_k, group), as a written table.
+
+    rest counts the shingles from this one on; short tells whether it is in the smaller set's prefix. Shingles of one component, or in no
+    smaller set's prefix, are left out.
+    """
+    texts = keyed.select("_k", "text").join(few(members), "_k")
+    common = keyed.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
+    def form(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in small_batches([batch], limit=PART_BYTES * 8):
+                keys, sizes, rests, shorts, counts = [], [], [], [], []
+                for s in shingle_sets(*binary_text(part), width):
+                    first, short = prefix(s, common.value) if len(s) else (s, 0)
+                    keys.append(first)
+                    counts.append(len(first))
+                    sizes.append(len(s))
+                    rests.append(len(s) - np.arange(len(first)))
+                    shorts.append(np.arange(len(first)) < short)
+                if not counts:
+                    continue
+                doc, group = (np.repeat(np.asarray(part.column(c)), counts) for c in (0, 2))
+                columns = [np.concatenate(keys).view(np.int64), doc, np.repeat(np.array(sizes, np.int32), counts), group, np.concatenate(rests).astype(np.int32), np.concatenate(shorts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_k", "n", "group", "rest", "short"])
+
+    rows = written(texts.select("_k", "text", "group").mapInArrow(form, "key bigint, _k bigint, n int, group bigint, rest int, short boolean"), "prefixes")
+    some = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.bool_or("short").alias("c")).filter("a <> b AND c")
+    return written(rows.join(few(written(some.select("key"), "keys")), "key", "left_semi"), "rows")
+
+
 def cells(rows: DataFrame) -> DataFrame:
-    """The (key, _k, n, group) of crowded() dealt in cells: (cell, unit, group, n, _k).
+    """The prefix_rows() dealt in cells: (cell, unit, group, n, _k, rest).
 
-    Each two rows of a bucket and of other groups meet in one cell, in which they have other units. A bucket of at most BLOCK rows
-    is one cell with the groups as units. In a larger one, the largest group's rows are dealt in blocks, and so are all others: each
-    block of the one meets each block of the other, and the other blocks meet each other and themselves.
+    In a cell, rows of unit 0 meet those of unit 1: a shingle's rows in short prefixes meet all of its rows of other components. Of more than
+    BLOCK rows, those of the largest component meet the others only, and both sides are dealt in blocks, each two of which have a cell.
     """
-    named = ["cell", "unit", "group", "n", "_k"]
-    sizes = rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("key").agg(F.sum("c").alias("rows"), F.max_by("group", F.struct("c", "group")).alias("main"), F.max("c").alias("mains"))
-    hot = written(sizes.filter(F.col("rows") > BLOCK).select("key", "main", F.ceil(F.col("mains") / BLOCK).alias("b"), F.ceil((F.col("rows") - F.col("mains")) / BLOCK).alias("c")), "hot")
-    small = rows.join(few(hot), "key", "left_anti").select(F.col("key").alias("cell"), F.col("group").alias("unit"), "group", "n", "_k")
+    named = ["cell", "unit", "group", "n", "_k", "rest"]
+    sizes = rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"), F.count_if("short").alias("s"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("rows"), F.sum("s").alias("shorts"), F.max_by(F.struct("group", "c", "s"), F.struct("c", "group")).alias("main"))
+    hot = written(sizes.filter(F.col("rows") > BLOCK), "hot")
+    side = lambda df, unit: df.select(F.col("key").alias("cell"), F.lit(unit).cast("bigint").alias("unit"), "group", "n", "_k", "rest")
+    small = rows.join(few(hot.select("key")), "key", "left_anti")
+    out = side(small.filter("short"), 0).unionByName(side(small, 1))
     if hot.isEmpty():
-        return small
+        return out
+    blocks = lambda n: F.greatest(F.lit(1).cast("bigint"), F.ceil(n / BLOCK))
+    m = F.col("main")
+    # the largest component's short prefixes meet the others; the others' short prefixes meet all
+    families = [("main", F.col("group") == m["group"], F.col("group") != m["group"], m["s"], F.col("rows") - m["c"]), ("rest", F.col("group") != m["group"], F.lit(True), F.col("shorts") - m["s"], F.col("rows"))]
     big = rows.join(few(hot), "key")
-    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    block = lambda n: F.pmod(F.xxhash64("_k", "key"), F.col(n))
-    main = big.filter("group = main").withColumn("x", block("b")).withColumn("y", to("c"))
-    main = main.withColumn("cell", F.xxhash64("key", F.lit("main"), "x", "y")).withColumn("unit", F.lit(0).cast("bigint"))
-    rest = big.filter("group <> main").withColumn("y", block("c"))
-    across = rest.withColumn("x", to("b")).withColumn("cell", F.xxhash64("key", F.lit("main"), "x", "y")).withColumn("unit", F.lit(1).cast("bigint"))
-    inside = rest.withColumn("x", to("c")).withColumn("cell", F.xxhash64("key", F.lit("rest"), F.least("x", "y"), F.greatest("x", "y")))
-    inside = inside.withColumn("unit", F.when(F.col("x") == F.col("y"), F.col("group")).otherwise((F.col("y") > F.col("x")).cast("bigint")))
-    return small.unionByName(main.select(named)).unionByName(across.select(named)).unionByName(inside.select(named))
-
-
-def fitting_pairs(cell: np.ndarray, unit: np.ndarray, group: np.ndarray, n: np.ndarray, bits: np.ndarray, at_once: int = 1 << 20):
+    for name, left, right, n_left, n_right in families:
+        dealt = big.filter((n_left > 0) & (n_right > 0)).withColumns({"b": blocks(n_left), "c": blocks(n_right)})
+        to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        own = lambda n: F.pmod(F.xxhash64("_k", "key"), n)
+        cell = F.xxhash64("key", F.lit(name), "x", "y")  # noqa: B023
+        one = dealt.filter(left & F.col("short")).withColumn("x", own(F.col("b"))).withColumn("y", to(F.col("c"))).withColumns({"cell": cell, "unit": F.lit(0).cast("bigint")})
+        two = dealt.filter(right).withColumn("y", own(F.col("c"))).withColumn("x", to(F.col("b"))).withColumns({"cell": cell, "unit": F.lit(1).cast("bigint")})
+        out = out.unionByName(one.select(named)).unionByName(two.select(named))
+    return out
+
+
+def fitting_pairs(cell: np.ndarray, unit: np.ndarray, group: np.ndarray, n: np.ndarray, rest: np.ndarray, bits: np.ndarray, at_once: int = 1 << 20):
     """(i, j, distance), in parts, of rows, sorted by cell and unit, of one cell and other units and groups that can be similar enough.
 
-    Refused are only pairs whose set sizes or bitmaps exclude the similarity. The distance is the bitmaps', over the sum of the sizes.
+    Refused are only pairs whose set sizes or bitmaps exclude the similarity, or the shingles that are left if this one is the first that
+    they share: if it isn't, they meet at that one. The distance is the bitmaps', over the sum of the sizes.
     """
     cell_end = np.searchsorted(cell, cell, "right")
     last = np.append((cell[1:] != cell[:-1]) | (unit[1:] != unit[:-1]), True)
@@ -270,16 +351,17 @@ def fitting_pairs(cell: np.ndarray, unit: np.ndarray, group: np.ndarray, n: np.n
         count = cell_end[a:b] - unit_end[a:b]
         i = np.repeat(np.arange(a, b), count)
         j = np.arange(len(i)) - np.repeat(partners[a:b] - partners[a], count) + unit_end[i]
-        fit = (group[i] != group[j]) & (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
-        i, j = i[fit], j[fit]
         both = n[i] + n[j]
+        fit = (group[i] != group[j]) & (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+        fit &= (100 + PERCENT) * np.minimum(rest[i], rest[j]) >= PERCENT * both
+        i, j, both = i[fit], j[fit], both[fit]
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         fit = apart <= both - 2 * -(-PERCENT * both // (100 + PERCENT))  # what two sets of the similarity differ in, at most
         yield i[fit], j[fit], apart[fit] / both[fit]
 
 
 def cell_pairs(rows: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
-    """(child, parent) of the rows of crowded() that are of other groups and can be similar enough.
+    """(child, parent) of the prefix_rows() that are of other groups and can be similar enough.
 
     Every such pair, or else the nearest one of each two groups. bits has the bitmap of each _k.
     """
@@ -291,15 +373,15 @@ def cell_pairs(rows: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
         for batch in itertools.chain(batches, [None]):
             cols = held
             if batch is not None:
-                cols = [*(np.asarray(batch.column(c)).astype(np.int64) for c in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)]
+                cols = [*(np.asarray(batch.column(c)).astype(np.int64) for c in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITMAP)]
                 if held is not None:
                     cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             if cols is None or not len(cols[0]):
                 continue
             end = int(np.searchsorted(cols[0], cols[0][-1])) if batch is not None else len(cols[0])
             held, cols = [c[end:] for c in cols], [c[:end] for c in cols]
-            cell, unit, group, n, doc, bits = cols
-            for i, j, apart in fitting_pairs(cell, unit, group, n, bits):
+            cell, unit, group, n, doc, rest, bits = cols
+            for i, j, apart in fitting_pairs(cell, unit, group, n, rest, bits):
                 low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
                 child, parent = np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])
                 one, two = (child, parent) if every else (low, high)
@@ -309,7 +391,7 @@ def cell_pairs(rows: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (child, parent, low, high, apart.astype(float))], ["child", "parent", "low", "high", "apart"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells(rows).join(bits.select("_k", "bits"), "_k").select("cell", "unit", "group", "n", "_k", "bits")
+    dealt = cells(rows).join(bits.select("_k", "bits"), "_k").select("cell", "unit", "group", "n", "_k", "rest", "bits")
     pairs = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "unit").mapInArrow(meet, "child bigint, parent bigint, low bigint, high bigint, apart double")
     if every:
         return pairs.select("child", "parent").distinct()
@@ -342,11 +424,13 @@ def find(keyed: DataFrame, width: int = WORDS) -> DataFrame:
         some = grouped(rows, None) if joined is None else crowded(grouped(rows, joined))
         ends = stars(some, turn)
         look(ends.select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")).distinct())
+    some = crowded(grouped(some.drop("group"), joined))
+    members = written(some.select("_k").distinct(), "members")
     for every in (False, True):
-        some = crowded(grouped(some.drop("group"), joined))
-        if some.isEmpty():
+        if members.isEmpty():
             break
-        look(cell_pairs(some, table, every))
+        rows = prefix_rows(keyed, grouped(members, joined), width)
+        look(cell_pairs(rows, table, every))
     if joined is None:
         return table.select("_k", F.col("n").cast("bigint").alias("n"), F.coalesce(F.lit(None).cast("bigint"), "_k").alias("component")) if classes.isEmpty() else with_classes(table, classes.select("n", "h1", "h2", F.col("rep").alias("component")))
     return with_classes(table, classes.join(joined, classes.rep == joined.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))

@@ -80,3 +80,35 @@ def test_links_to_one_member_of_a_component(spark):
     rng.shuffle(texts)
     assert len(set(smallest(texts))) == 6
     assert wrong(spark, texts, 8) == 0
+
+
+@pytest.mark.parametrize("own", [14, 25])
+def test_rows_grow_with_the_number_of_template_documents(spark, own):
+    """Of n documents of one template, of similarity 0.78 or 0.65, the rows and pairs of the second look grow no faster than n."""
+    sizes = []
+    for n in (500, 2000):
+        rng = random.Random(n)
+        template = words(rng, 100)
+        texts = [" ".join(template + words(rng, own)) for _ in range(n)]
+        keyed = spark.createDataFrame(list(enumerate(texts)), "_k bigint, text string")
+        members = keyed.select("_k", keyed["_k"].alias("group"))
+        rows = neardup.prefix_rows(keyed, members, 2)
+        sizes.append((rows.count(), neardup.cells(rows).count(), neardup.cell_pairs(rows, neardup.features(keyed), True).count()))
+    assert all(large <= 5 * small + 100 for small, large in zip(*sizes))
+
+
+def test_prefixes_of_similar_sets_share_a_shingle():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    universe = rng.integers(0, 1 << 63, 400, np.uint64)
+    common = (np.sort(universe[:50]), rng.integers(8, 99, 50))
+    for _ in range(3000):
+        size = int(rng.integers(1, 60))
+        one = np.unique(rng.choice(universe, size))
+        two = np.unique(np.concatenate([one[: int(rng.integers(0, len(one) + 1))], rng.choice(universe, int(rng.integers(0, 12)))]))
+        small, large = sorted((one, two), key=len)
+        both = len(np.intersect1d(small, large))
+        if len(small) and 100 * both >= neardup.PERCENT * (len(small) + len(large) - both):
+            a, short = neardup.prefix(small, common)
+            assert np.isin(a[:short], neardup.prefix(large, common)[0]).any()
