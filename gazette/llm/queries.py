@@ -130,4 +130,30 @@ SELECT urls.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FRO
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(key >> (60 - d)), CAST(d AS INTEGER), '0') END AS shard,
   CAST(d AS BIGINT) AS depth, CAST(b AS BIGINT) AS shard_bytes, b > 1048576 AS oversize
 FROM first WHERE r = 1""",
+    "op11_spelling_variants": r"""WITH RECURSIVE bits AS (
+  SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM (SELECT unnest(range(0, 256)) AS b)
+), crc_table AS (SELECT list(t ORDER BY b) AS t FROM bits
+), found AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, CAST(length(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(doc_id || ':' || run)) AS x FROM found), crc_table
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+  GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, min(encode(other)) FILTER (WHERE n = top) AS other FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word
+), forms AS (
+  SELECT words.word, CASE WHEN most >= 2 * n THEN decode(other) END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS last FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON last = forms.word WHERE form IS NOT NULL
+)
+SELECT forms.word, form, last AS root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word WHERE last IN (SELECT word FROM forms WHERE form IS NULL)""",
 }
