@@ -32,8 +32,8 @@ from .token_count import SAFE, SPLIT
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 2 << 20
-#: Words of a sample of the documents that are merged beforehand and sent to all tasks, at most; the sample has every SAMPLE_STEP-th
-#: document, and SAMPLE_DOCS at most.
+#: Words of a sample of the documents that are merged beforehand and sent to all tasks, at most; the sample has one document in SAMPLE_STEP by
+#: the hash of doc_id, or about SAMPLE_DOCS of more.
 SHARED, SAMPLE_STEP, SAMPLE_DOCS = 400_000, 16, 200_000
 #: Distinct words that a task numbers before it starts again.
 WORDS = 1_000_000
@@ -42,6 +42,8 @@ LONG_WORD = 512
 NO_ID = 1 << 16
 #: An entry of the rank map that no pair has.
 EMPTY = 0
+#: What stands before the ids of a word that no merge is left for.
+DONE = -1
 #: Pieces that decoding concatenates at once.
 PIECES = 16
 
@@ -109,7 +111,8 @@ class RankMap:
 def fold_merges(word: Column, ranks: RankMap) -> Column:
     """The ids of a word, given as the ids of its bytes (an array of bigint).
 
-    A step looks up all neighbours and joins the first pair of the lowest rank; a word of n bytes takes n - 1 steps at most.
+    A step looks up all neighbours and joins the first pair of the lowest rank; a word of n bytes takes n - 1 steps at most. A word without
+    such a pair is put behind DONE, which ends the work of all further steps.
     """
 
     def near(p: Column) -> Column:
@@ -121,12 +124,13 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
         return F.aggregate(F.array(value), like, body)
 
     def step(p: Column) -> Column:
-        return once(near(p), p, lambda p, found: once(F.array_min(found), p, lambda p, low: F.when(low == NO_ID, p).otherwise(join(p, low, found))))
+        return once(near(p), p, lambda p, found: once(F.array_min(found), p, lambda p, low: F.when(low == NO_ID, F.concat(F.array(F.lit(DONE).cast("bigint")), p)).otherwise(join(p, low, found))))
 
     def join(p: Column, low: Column, found: Column) -> Column:
         return once(F.array_position(found, low).cast("int"), p, lambda p, at: F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
 
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, lambda p, _: step(p))
+    done = lambda p: F.get(p, F.lit(0)) == DONE
+    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, lambda p, _: F.when(done(p), p).otherwise(step(p)), lambda p: F.when(done(p), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -271,7 +275,7 @@ class Encodings:
 def shared_words(docs: DataFrame, path: str, pattern: str) -> Shared:
     """The words of the sample, merged: all, or those in the most of its documents if there are more than SHARED."""
     step = max(SAMPLE_STEP, docs.count() // SAMPLE_DOCS)
-    sample = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.col("text").cast("string").alias("text"))
 
     def count(batches):
         from collections import Counter
@@ -298,9 +302,14 @@ def shared_words(docs: DataFrame, path: str, pattern: str) -> Shared:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(table[np.frombuffer(b"".join(words), np.uint8)]))], ["word", "bytes"])
 
     table = written(sample.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    least = 1
-    while (kept := table.filter(F.col("c") >= least)).count() > SHARED:
-        least += 1
+    # how many words there are of each count: few rows, as counts are of documents of the sample
+    held, least = 0, 1
+    for c, n in table.groupBy("c").count().orderBy(F.desc("c")).collect():
+        held += n
+        if held > SHARED:
+            least = c + 1
+            break
+    kept = table.filter(F.col("c") >= least)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = kept.select("word").repartition(parts, "word").mapInArrow(to_bytes, "word string, bytes array<bigint>")
     found = written(rows.select("word", fold_merges(F.col("bytes"), RankMap(read_ranks(path))).alias("ids")), "shared").toArrow().combine_chunks()
