@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import payloads, urls
+
 #: Words that tell of records, in the order in which they are looked for.
 DATA_KEYS = ("title", "subject", "content", "writer", "regdate", "date", "posted", "list", "items", "rows", "total_count", "count", "notice", "board", "zz_title", "zz_end_dt", "zz_jo_num", "article", "post", "job", "recruit", "apply", "deadline")
 KEYWORDS = ("공지", "notice", "조회수", "첨부파일", "게시", "board", "title", "subject", "list")
 #: Prices of a million tokens in dollars, by provider, and won for a dollar.
 PRICES = {"openai": (0.40, 1.60), "gemini": (0.30, 2.50)}
 WON = 1350
-#: Headers that aren't sent on, and prefixes of others.
 #: Request headers that a replay leaves out, and headers that no record may keep.
 DROPPED_HEADERS = ("cookie", "content-length", "content-encoding", "host", "connection", "accept-encoding", "cache-control")
 SENSITIVE_HEADERS = ("authorization", "cookie", "proxy-authorization", "x-api-key", "x-csrf-token", "x-xsrf-token", "csrf-token")
@@ -168,3 +169,33 @@ def view_reasons(raw: Column, view: Column, truncated: Column) -> Column:
         F.when((raw["embedded"] > 0) & (raw["records"] == 0) & (view["records"] == 0), "EMBEDDED_DATA_NOT_EXPANDED"),
         F.when(truncated & (severe | ((view["records"] == 0) & (view["titles"] == 0))), "VIEW_TRUNCATED"),
     ))
+
+
+#: Features that are shown to a judge of candidates, and how many keys, hits and characters.
+SHOWN = (
+    "is_exact_target", "is_same_host", "has_title_key", "has_date_key", "has_list_key", "has_total_count", "has_repeated_records", "semantic_record_count", "title_date_pair_count",
+    "has_notice_terms", "looks_like_non_content", "is_json_like", "is_jsonp_like", "legacy_endpoint_hint",
+)
+SHOWN_KEYS, SHOWN_HITS, SHOWN_CHARS = 10, 8, 240
+
+
+def compact(payload: Column, features: Column, known: tuple[str, ...], hits: Column, sample: Column) -> Column:
+    """What a judge of candidates sees of one: (payload_keys, data_key_hits, feature_summary, sample), all bounded. known: the features' names."""
+    keys = F.slice(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), 1, SHOWN_KEYS)
+    shown = F.struct(*[(features[n] if n in known else F.lit(None).cast("boolean")).alias(n) for n in SHOWN])
+    return F.struct(keys.alias("payload_keys"), F.slice(hits, 1, SHOWN_HITS).alias("data_key_hits"), shown.alias("feature_summary"), F.substring(F.coalesce(sample, F.lit("")), 1, SHOWN_CHARS).alias("sample"))
+
+
+def in_list_scope(candidates: DataFrame, target_url: Column) -> DataFrame:
+    """candidates (api_url, payload, features, ...) limited to the target's recommended posts where it asks for them.
+
+    A changed candidate takes its payload from the new address, loses what described the old response, and is to be stored anew.
+    """
+    limited = urls.keep_list_filter(target_url, F.coalesce("api_url", F.lit("")))
+    rows = candidates.withColumns({"_url": limited, "requested_list_url": F.when(urls.is_recommended_list(target_url), target_url)})
+    moved = F.col("_url") != F.coalesce("api_url", F.lit(""))
+    stale = [c for c in ("validation_analysis", "features") if c in candidates.columns]
+    return rows.withColumns({
+        "payload": F.when(moved, payloads.form_json(urls.group(F.col("_url"), 4))).otherwise(F.col("payload")), "api_url": F.when(moved, F.col("_url")).otherwise(F.col("api_url")), "pending_persistence": moved,
+        **{c: F.when(~moved, F.col(c)) for c in stale},
+    }).drop("_url")

@@ -16,13 +16,13 @@ from pyspark.sql.window import Window
 
 from .records import Node, Tree, groups, in_navigation
 from . import urls
+from .safety import SECRET
 from .text import squeeze
 
 GROUPS, RECORDS, CHARS = 4, 3, 24_000
 #: What is left out of kept fragments, and the attributes that stay.
 DROPPED = ("script", "style", "svg", "noscript", "template", "iframe")
 KEPT_ATTRIBUTES = ("class", "id", "href", "title", "datetime", "itemprop", "role", "aria-label", "name", "content", "value")
-SECRET = re.compile("(?:password|passwd|secret|token|authorization|cookie|session|api[_-]?key)", re.I)
 #: Parts of the names of functions that lead to a page.
 LEADING = ("article", "board", "detail", "go", "job", "move", "notice", "open", "post", "recruit", "show", "view")
 CALL = re.compile(r"\s*(?:javascript:)?\s*(?:return\s+)?([A-Za-z_$][\w.$]*)\s*\(([^)]{0,512})\)")

@@ -45,11 +45,6 @@ def upgraded(decision: Column, version: Column, current: int) -> Column:
     return F.when((decision == "unchanged") & (F.coalesce(version, F.lit(0)) < current), "process").otherwise(decision)
 
 
-def result_status(status: Column, n_notices: Column) -> Column:
-    """failed, valid_empty or success; n_notices is null where there is no list."""
-    return F.when(status.isNull() | (status == "error") | n_notices.isNull(), "failed").when(n_notices == 0, "valid_empty").otherwise("success")
-
-
 def ranked(candidates: DataFrame, target: str = "target_id") -> DataFrame:
     """candidates with rank by score, then length, within the target; then by index, as the order is stable."""
     order = Window.partitionBy(target).orderBy(F.desc("score"), F.desc("length"), "api_index")

@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import payloads, urls
 from . import writes as W
 from .lifecycle import changed, finish_runs
+from .reads import event_outcomes
 
+#: The form of a stored rule, and the versions that it is stored with.
+RULE_FORMAT = "agent_extractor_v1"
+RULE_VERSIONS = {"notice_identity_version": 2, "detail_url_base_version": 4, "json_detail_template_version": 1, "json_date_role_version": 1}
 #: The version that notices' identities are stored under, and the code of a write that was refused.
 IDENTITY_VERSION, REFUSED_CODE, FAILED_CODE = 2, "DATABASE_ERROR", "NOTICE_EXTRACTION_FAILED"
 STORED = ("success", "valid_empty")
@@ -179,3 +184,65 @@ def own_inquiries(inquiries: DataFrame) -> DataFrame:
     """Each user's inquiries, newest first: with place from 1, by the later id where times are equal."""
     newest = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("created_at"), F.desc("inquiry_id"))
     return inquiries.withColumn("place", F.row_number().over(newest))
+
+
+def sync_legacy(tables: dict[str, DataFrame], runs: DataFrame, records: DataFrame, as_of: str, first_id: int) -> dict[str, DataFrame]:
+    """(notices, events, deliveries) after records of the older extraction: as persist(), but nothing is activated and no source is written.
+
+    runs: (site_id, crawl_run_id). A site with colliding records is left out as a whole. Links are brought into their canonical form.
+    """
+    rows = records.withColumn("detail_url", urls.canonical(F.col("detail_url")))
+    fine = rows.join(colliding_sites(W.match_notices(tables["notices"], rows)), "site_id", "left_anti")
+    notices = W.upsert_notices(tables["notices"], fine, as_of, first_id)
+    new = notices.filter("inserted").join(runs.select("site_id", "crawl_run_id"), "site_id").select("site_id", "crawl_run_id", "notice_id")
+    events, deliveries = W.fan_out(new, tables["subscriptions"], tables["users"], tables["tokens"], tables["events"])
+    return {"notices": notices, "events": events, "deliveries": deliveries}
+
+
+def set_crawl_state(sites: DataFrame, states: DataFrame, as_of: str) -> DataFrame:
+    """Sites with a new crawl state (site_id, crawl_status, validation_status, validation_error_code, validation_error); the validation's
+    status stays where none is given."""
+    return changed(sites, states, ["site_id"], lambda g: {
+        "crawl_status": g("crawl_status"), "validation_status": F.coalesce(g("validation_status"), F.col("validation_status")), "validation_error_code": g("validation_error_code"),
+        "validation_error": g("validation_error"), "last_validated_at": W.instant(as_of),
+    })
+
+
+def insert_apis(apis: DataFrame, new: DataFrame, first_id: int) -> DataFrame:
+    """Sources appended, each with a number of its own: from first_id on in the order of site and url. What new lacks is null."""
+    counts = new.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("site_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = new.withColumn("_i", F.row_number().over(Window.partitionBy("site_id").orderBy("api_url"))).join(counts, "site_id")
+    rows = numbered.withColumn("api_id", F.lit(first_id) + F.col("_off") + F.col("_i") - 1).drop("_i", "_n", "_off")
+    return apis.unionByName(rows, allowMissingColumns=True)
+
+
+def delivered(deliveries: DataFrame, outbox: DataFrame, outcomes: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(deliveries, outbox) after outcomes (delivery_id, sent, error), one for each delivery: attempts counted, and the events closed whose
+    deliveries were touched and are all at an end."""
+    failures = outcomes.filter("NOT sent").select("delivery_id", F.coalesce("error", F.lit("")).alias("error"))
+    after = W.failed_deliveries(deliveries, failures, as_of).select(deliveries.columns)
+    after = changed(after, outcomes.filter("sent").select("delivery_id"), ["delivery_id"], lambda g: {"status": F.lit("sent")})
+    touched = after.join(outcomes.select("delivery_id"), "delivery_id", "left_semi").select("event_id").distinct()
+    closed = event_outcomes(outbox.join(touched, "event_id", "left_semi"), after).select("event_id", F.col("status").alias("_now"))
+    events = outbox.join(closed, "event_id", "left").withColumn("status", F.coalesce("_now", "status")).drop("_now")
+    return after.select(deliveries.columns), events.select(outbox.columns)
+
+
+def remove_device(tokens: DataFrame, gone: DataFrame) -> DataFrame:
+    """Tokens without those of the given users' devices (user_id, device_id)."""
+    return W.remove(tokens, gone.select("user_id", "device_id").distinct(), ["user_id", "device_id"])
+
+
+def is_active_rule(config: Column) -> Column:
+    """Whether a stored configuration, as JSON, is an approved rule that may be executed."""
+    at = lambda path: F.get_json_object(config, path)
+    rule = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(config), "$.rule", "variant")).startswith("OBJECT"), F.lit(False))
+    return F.coalesce((at("$.format") == RULE_FORMAT) & (at("$.activation.status") == "active"), F.lit(False)) & rule
+
+
+def active_rule_config(rule: Column, evaluation: Column, origin: Column) -> Column:
+    """The configuration that is stored for a rule, as JSON, whose evaluation, as JSON, let it pass; else null."""
+    passed = F.coalesce(F.get_json_object(evaluation, "$.decision") == "pass", F.lit(False)) & F.try_parse_json(rule).isNotNull()
+    versions = "".join(f',"{name}":{number}' for name, number in RULE_VERSIONS.items())
+    head = F.concat(F.lit('{"format":"' + RULE_FORMAT + '","source_type":'), payloads.quoted(F.get_json_object(rule, "$.source_type")), F.lit(',"rule":'), rule)
+    return F.when(passed, payloads.canonical_json(F.concat(head, F.lit(',"activation":{"status":"active","evaluated_once":true,"rule_origin":'), payloads.quoted(origin), F.lit(',"evaluation":'), evaluation, F.lit("}" + versions + "}"))))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import candidates as C
 from ..functions import payloads as P
 from ..functions import urls as U
 from ..functions.rules import JsonRule, results, run
 from ..operators import comparison as X
 from ..operators import decisions as D
+from ..operators import lifecycle as L
 from ..operators import outcomes as O
 from ..operators import registration as G
 from ..operators import writes as W
@@ -359,3 +361,107 @@ def approved_notices(s):
     target = F.concat(F.lit("https://m.dcinside.com/board/g"), "site_id")
     post = F.when(F.col("notice_id") % 2 == 0, F.concat(F.lit("https://gall.dcinside.com/mini/board/view/?utm_source=a&no="), "notice_id", F.lit("&id=g"), "site_id")).otherwise(F.col("detail_url"))
     return X.approved_notices(s.notices.withColumn("detail_url", post), target, AS_OF).select("notice_id", "detail_url", "url", *text("created_at"))
+
+
+@query("notices subscriptions users", f""", rec AS (SELECT row_number() OVER (PARTITION BY site_id ORDER BY notice_id) AS record_index, * FROM (SELECT concat('old ', notice_id) AS title, {SEEN.format(notices="notices")} WHERE notice_id % 9 = 2)),
+  found AS (SELECT r.*, coalesce(a.notice_id, b.notice_id) AS hit FROM rec r LEFT JOIN notices a ON r.external_id IS NOT NULL AND a.site_id = r.site_id AND a.external_id = r.external_id LEFT JOIN notices b ON r.external_id IS NULL AND b.site_id = r.site_id AND b.detail_url = r.detail_url)
+  SELECT 'notice' AS kind, n.site_id, n.notice_id AS id, coalesce(f.title, n.title) AS title, CASE WHEN f.hit IS NOT NULL THEN false END AS inserted FROM notices n LEFT JOIN found f ON f.hit = n.notice_id UNION ALL SELECT 'notice', site_id, NULL, title, true FROM found WHERE hit IS NULL
+  UNION ALL SELECT 'event', s.site_id, subscription_id, CAST(n AS VARCHAR), NULL FROM subscriptions s JOIN users u USING (user_id) JOIN (SELECT site_id, count(*) AS n FROM found WHERE hit IS NULL GROUP BY 1) h ON h.site_id = s.site_id WHERE registration_completed_at IS NOT NULL AND notification_enabled AND is_notification_enabled""")
+def legacy_sync(s):
+    records = s.spark.sql(f"SELECT row_number() OVER (PARTITION BY site_id ORDER BY notice_id) AS record_index, * FROM (SELECT concat('old ', notice_id) AS title, {SEEN} WHERE notice_id % 9 = 2)", notices=s.notices).drop("notice_id")
+    tables = {"notices": s.notices, "subscriptions": s.subscriptions, "users": s.users, "tokens": s.tokens, "events": s.outbox}
+    runs = s.notices.select("site_id").distinct().withColumn("crawl_run_id", F.col("site_id") + 7_000_000)
+    out = O.sync_legacy(tables, runs, records, ORDERS_AS_OF, 1_000_000_000)
+    notices = out["notices"].select(F.lit("notice").alias("kind"), "site_id", F.when(F.col("notice_id") < 1_000_000_000, F.col("notice_id")).alias("id"), "title", "inserted")
+    events = out["events"].select(F.lit("event").alias("kind"), "site_id", F.col("subscription_id").alias("id"), F.col("new_notice_count").cast("string").alias("title"), F.lit(None).cast("boolean").alias("inserted"))
+    return notices.unionByName(events)
+
+
+@query("sites runs", f"""SELECT site_id, CASE WHEN hit THEN 'failed' ELSE crawl_status END AS crawl_status, CASE WHEN hit AND site_id % 2 = 0 THEN 'invalid' ELSE 'valid' END AS validation_status, CASE WHEN hit THEN concat('E', site_id % 4) ELSE validation_error_code END AS validation_error_code, CAST(CASE WHEN hit THEN TIMESTAMP '{AS_OF}' END AS VARCHAR) AS last_validated_at
+  FROM (SELECT *, site_id IN (SELECT site_id FROM runs WHERE status = 'failed') AS hit FROM sites)""")
+def site_crawl_state(s):
+    n = F.col("site_id")
+    states = s.runs.filter("status = 'failed'").select("site_id").distinct().select(n, F.lit("failed").alias("crawl_status"), F.when(n % 2 == 0, "invalid").alias("validation_status"), F.concat(F.lit("E"), n % 4).alias("validation_error_code"), F.lit(None).cast("string").alias("validation_error"))
+    return O.set_crawl_state(s.sites.withColumn("validation_status", F.lit("valid")), states, AS_OF).select("site_id", "crawl_status", "validation_status", "validation_error_code", *text("last_validated_at"))
+
+
+@query("states sites", "SELECT api_id, site_id, api_url, processing_status FROM states UNION ALL SELECT 100000000 + row_number() OVER (ORDER BY site_id) - 1, site_id, concat(site_url, '/api'), NULL FROM sites")
+def api_insert(s):
+    new = s.sites.select("site_id", F.concat("site_url", F.lit("/api")).alias("api_url"))
+    return O.insert_apis(s.states, new, 100_000_000).select("api_id", "site_id", "api_url", "processing_status")
+
+
+@query("states", "SELECT site_id, api_id, api_url, processing_status FROM states WHERE site_id IN (SELECT site_id FROM states GROUP BY site_id) QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY api_id) = 1")
+def api_config_by_site(s):
+    """The source of each site; of several the first."""
+    return L.lookup(s.states, s.states.select("site_id"), "site_id", ["api_id", "api_url", "processing_status"])
+
+
+STATE = ("api_id", "site_id", "last_processed_hash", "observed_hash", "processing_status", "retry_count", "next_retry_at", "scraped_at")
+
+
+@query("states", "SELECT DISTINCT u AS api_url, api_id, site_id, last_processed_hash, observed_hash, processing_status, retry_count, CAST(next_retry_at AS VARCHAR) AS next_retry_at, CAST(scraped_at AS VARCHAR) AS scraped_at FROM (SELECT concat('https://a.example/', event_id % 1500) AS u FROM events) LEFT JOIN states ON u = api_url")
+def processing_state_columns(s):
+    """All of the state of asked sources; nothing but the address of those that aren't known."""
+    asked = s.events.select(F.concat(F.lit("https://a.example/"), F.col("event_id") % 1500).alias("api_url"))
+    return L.lookup(s.states, asked, "api_url", list(STATE)).select("api_url", *STATE[:6], *text("next_retry_at", "scraped_at"))
+
+
+@query("runs sites", "SELECT crawl_run_id AS inquiry_id, site_id AS user_id, concat('why ', crawl_run_id) AS title, CAST(started_at AS VARCHAR) AS created_at FROM runs WHERE status = 'failed' AND crawl_run_id % 2 = 0 UNION ALL SELECT -site_id - 1, NULL, NULL, NULL FROM sites")
+def inquiry_by_id(s):
+    """Asked inquiries as a whole; those that don't exist have no values."""
+    held = s.runs.filter("status = 'failed'").select(F.col("crawl_run_id").alias("inquiry_id"), F.col("site_id").alias("user_id"), F.concat(F.lit("why "), "crawl_run_id").alias("title"), *text("started_at")).withColumnRenamed("started_at", "created_at")
+    asked = held.filter("inquiry_id % 2 = 0").select("inquiry_id").unionByName(s.sites.select((-F.col("site_id") - 1).cast("bigint").alias("inquiry_id")))
+    return L.lookup(held, asked, "inquiry_id", ["user_id", "title", "created_at"])
+
+
+@query("deliveries outbox", """, after AS (SELECT delivery_id, event_id, CASE WHEN delivery_id % 4 = 1 THEN attempt_count + 1 ELSE attempt_count END AS attempt_count, CASE delivery_id % 4 WHEN 1 THEN 'failed' WHEN 2 THEN 'sent' ELSE status END AS status FROM deliveries),
+  t AS (SELECT event_id, count(*) FILTER (WHERE status IN ('pending', 'failed') AND attempt_count < 3) AS again, count(*) FILTER (WHERE status = 'sent') AS sent, bool_or(delivery_id % 4 IN (1, 2)) AS touched FROM after GROUP BY event_id)
+  SELECT 'delivery' AS kind, delivery_id AS id, status, CAST(attempt_count AS BIGINT) AS attempts FROM after UNION ALL SELECT 'event', o.event_id, CASE WHEN coalesce(touched, false) THEN CASE WHEN again > 0 THEN 'pending' WHEN sent > 0 THEN 'sent' ELSE 'cancelled' END ELSE status END, NULL FROM outbox o LEFT JOIN t USING (event_id)""")
+def delivery_outcomes(s):
+    """Every second delivery ends: half of them sent."""
+    ends = s.deliveries.filter("delivery_id % 4 in (1, 2)").select("delivery_id", (F.col("delivery_id") % 4 == 2).alias("sent"), F.lit("late").alias("error"))
+    deliveries, outbox = O.delivered(s.deliveries, s.outbox, ends, AS_OF)
+    rows = deliveries.select(F.lit("delivery").alias("kind"), F.col("delivery_id").alias("id"), "status", F.col("attempt_count").cast("bigint").alias("attempts"))
+    return rows.unionByName(outbox.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "status", F.lit(None).cast("bigint").alias("attempts")))
+
+
+@query("tokens users", "SELECT token_id, user_id FROM tokens WHERE NOT (user_id % 3 = 0 AND token_id % 2 = 0 AND user_id IN (SELECT user_id FROM users))")
+def device_token_delete(s):
+    held = s.tokens.withColumn("device_id", F.concat(F.lit("d"), F.col("token_id") % 2))
+    gone = s.users.filter("user_id % 3 = 0").select("user_id", F.lit("d0").alias("device_id"))
+    return O.remove_device(held, gone).select("token_id", "user_id")
+
+
+@query("states", """SELECT api_id, api_id % 4 = 0 AS active, api_id % 3 = 0 OR api_id % 4 = 0 AS allowed, CASE WHEN api_id % 2 = 0 THEN concat('{"activation":{"evaluated_once":true,"evaluation":{"decision":"pass"},"rule_origin":"model","status":"active"},"detail_url_base_version":4,"format":"agent_extractor_v1","json_date_role_version":1,"json_detail_template_version":1,"notice_identity_version":2,"rule":{"n":', api_id, ',"source_type":"json"},"source_type":"json"}') END AS config FROM states""")
+def active_rule_configs(s):
+    """Whether stored configurations are active rules, which sources may learn rules, and what is stored for a rule that has passed."""
+    n = F.col("api_id")
+    stored = F.when(n % 4 == 0, '{"format": "agent_extractor_v1", "activation": {"status": "active"}, "rule": {}}').when(n % 4 == 1, '{"format": "agent_extractor_v1", "activation": {"status": "retired"}, "rule": {}}').when(n % 4 == 2, '{"format": "agent_extractor_v1", "activation": {"status": "active"}, "rule": []}')
+    active = O.is_active_rule(stored)
+    rule = F.concat(F.lit('{"source_type": "json", "n": '), n, F.lit("}"))
+    evaluation = F.when(n % 2 == 0, '{"decision": "pass"}').otherwise('{"decision": "fail"}')
+    return s.states.select("api_id", active.alias("active"), O.rollout_allowed(n % 3 == 0, active, True).alias("allowed"), O.active_rule_config(rule, evaluation, F.lit("model")).alias("config"))
+
+
+@query("states", "SELECT api_id, CASE WHEN processing_status = 'success' AND api_id % 2 = 0 THEN '{}' ELSE extractor_config END AS extractor_config, CASE WHEN processing_status = 'success' THEN concat('s', api_id) END AS schema_hash FROM states")
+def extraction_result(s):
+    found = s.states.filter("processing_status = 'success'").select("api_id", F.when(F.col("api_id") % 2 == 0, "{}").alias("extractor_config"), F.concat(F.lit("s"), "api_id").alias("schema_hash"))
+    return O.apply_result(s.states, found).select("api_id", "extractor_config", "schema_hash")
+
+
+@query("", """SELECT event_id, 'a,k' AS payload_keys, 'date,list' AS hits, event_type = 'view' AS same_host, CAST(event_id % 7 AS BIGINT) AS records, substr(repeat(concat('x', event_id, ' '), 200), 1, 240) AS sample FROM events""")
+def compact_candidates(s):
+    n = F.col("event_id")
+    features = F.struct((F.col("event_type") == "view").alias("is_same_host"), (n % 7).alias("semantic_record_count"))
+    payload = F.concat(F.lit('{"a": 1, "k": '), n, F.lit("}"))
+    seen = C.compact(payload, features, ("is_same_host", "semantic_record_count"), F.array(F.lit("date"), F.lit("list")), F.repeat(F.concat(F.lit("x"), n, F.lit(" ")), F.lit(200)))
+    rows = s.events.select("event_id", seen.alias("c"))
+    return rows.select("event_id", F.array_join("c.payload_keys", ",").alias("payload_keys"), F.array_join("c.data_key_hits", ",").alias("hits"), F.col("c.feature_summary.is_same_host").alias("same_host"), F.col("c.feature_summary.semantic_record_count").cast("bigint").alias("records"), "c.sample")
+
+
+@query("", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://gall.dcinside.com/mgallery/board/lists/?page=2&id=g', page_id, '&exception_mode=recommend') WHEN 1 THEN concat('https://m.dcinside.com/board/g', page_id, '?x=1&recommend=1') WHEN 2 THEN concat('https://gall.dcinside.com/board/lists?id=other', page_id) ELSE url END AS api_url,
+  CASE page_id % 4 WHEN 0 THEN concat('{"page":"2","id":"g', page_id, '","exception_mode":"recommend"}') WHEN 1 THEN '{"x":"1","recommend":"1"}' ELSE '{}' END AS payload, CASE WHEN page_id % 4 > 1 THEN 'old' END AS features, page_id % 4 < 2 AS pending FROM pages""")
+def list_scope(s):
+    rows = s.spark.sql(LISTS, pages=s.pages).select("page_id", F.col("source").alias("api_url"), "target", F.lit("{}").alias("payload"), F.lit("old").alias("features"))
+    return C.in_list_scope(rows, F.col("target")).select("page_id", "api_url", "payload", "features", F.col("pending_persistence").alias("pending"))

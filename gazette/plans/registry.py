@@ -423,6 +423,8 @@ GATE = """, r AS (SELECT *, concat(kind, ':', identity) AS k FROM (SELECT site_i
 
 @query("notices sites", GATE)
 def hard_gate(s):
+    """Over stored notices, without an extraction's own counts: notices without an author stand in for rejected records, and external ids,
+    by a factor of the site, for records that were seen. rule_gate has the real counts of a run."""
     rows = W.identities(s.notices)
     counts = s.notices.groupBy("site_id").agg(F.count(F.lit(1)).alias("source_records"), F.count_if(F.col("author").isNull()).alias("rejected"), (F.count("external_id") * (F.col("site_id") % 9 + 1)).alias("semantic_records"))
     sources = s.sites.select("site_id", F.lit(False).alias("failed")).join(counts, "site_id", "left").na.fill(0, ["source_records", "rejected", "semantic_records"])

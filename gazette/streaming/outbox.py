@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, writes
+from ..operators.outcomes import delivered
 
 
 class Snapshots:
@@ -74,19 +75,10 @@ def deliver(snapshots: Snapshots, as_of: str):
     """For foreachBatch over delivery outcomes (delivery_id, sent, error): counts attempts and closes events."""
 
     def run(batch: DataFrame, number: int) -> None:
-        from ..operators.reads import event_outcomes
-
         if snapshots.committed(number):
             return
         outcomes = writes.latest(batch, ["delivery_id"], F.desc("sent"), F.col("error"))
-        deliveries, outbox = snapshots.table("deliveries"), snapshots.table("outbox")
-        failures = outcomes.filter("not sent").select("delivery_id", F.coalesce("error", F.lit("")).alias("error"))
-        after = writes.failed_deliveries(deliveries, failures, as_of).select(deliveries.columns)
-        sent = outcomes.filter("sent").select("delivery_id", F.lit(True).alias("_sent"))
-        after = after.join(sent, "delivery_id", "left").withColumn("status", F.when(F.col("_sent"), "sent").otherwise(F.col("status"))).drop("_sent").select(deliveries.columns)
-        touched = after.join(outcomes.select("delivery_id"), "delivery_id", "left_semi").select("event_id").distinct()
-        closed = event_outcomes(outbox.join(touched, "event_id", "left_semi"), after).select("event_id", F.col("status").alias("_now"))
-        events = outbox.join(closed, "event_id", "left").withColumn("status", F.coalesce("_now", "status")).drop("_now")
-        snapshots.commit(number, {"deliveries": after, "outbox": events.select(outbox.columns)})
+        deliveries, outbox = delivered(snapshots.table("deliveries"), snapshots.table("outbox"), outcomes, as_of)
+        snapshots.commit(number, {"deliveries": deliveries, "outbox": outbox})
 
     return run
