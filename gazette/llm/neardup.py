@@ -273,11 +273,11 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple
     return shingles[:as_larger], as_smaller
 
 
-def prefix_rows(keyed: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(key, _k, n, group, rest, short): the prefixes of the documents of members (_k, group), as a written table.
+def prefixes(keyed: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(key, _k, n, rest, short): the prefixes of the documents of members (_k), as a written table.
 
-    rest counts the shingles from this one on; short tells whether it is in the smaller set's prefix. Shingles of one component, or in no
-    smaller set's prefix, are left out.
+    rest counts the shingles from this one on; short tells whether it is in the smaller set's prefix. Shingles that are in no smaller set's
+    prefix, or in one document's only, are left out.
     """
     texts = keyed.select("_k", "text").join(few(members), "_k")
     common = keyed.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
@@ -297,17 +297,23 @@ def prefix_rows(keyed: DataFrame, members: DataFrame, width: int) -> DataFrame:
                     shorts.append(np.arange(len(first)) < short)
                 if not counts:
                     continue
-                doc, group = (np.repeat(np.asarray(part.column(c)), counts) for c in (0, 2))
-                columns = [np.concatenate(keys).view(np.int64), doc, np.repeat(np.array(sizes, np.int32), counts), group, np.concatenate(rests).astype(np.int32), np.concatenate(shorts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_k", "n", "group", "rest", "short"])
+                doc = np.repeat(np.asarray(part.column(0)), counts)
+                columns = [np.concatenate(keys).view(np.int64), doc, np.repeat(np.array(sizes, np.int32), counts), np.concatenate(rests).astype(np.int32), np.concatenate(shorts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_k", "n", "rest", "short"])
 
-    rows = written(texts.select("_k", "text", "group").mapInArrow(form, "key bigint, _k bigint, n int, group bigint, rest int, short boolean"), "prefixes")
-    some = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.bool_or("short").alias("c")).filter("a <> b AND c")
-    return written(rows.join(few(written(some.select("key"), "keys")), "key", "left_semi"), "rows")
+    rows = written(texts.select("_k", "text").mapInArrow(form, "key bigint, _k bigint, n int, rest int, short boolean"), "prefixes")
+    some = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bool_or("short").alias("short")).filter("c > 1 AND short")
+    return written(rows.join(few(written(some.select("key"), "keys")), "key", "left_semi"), "shared")
+
+
+def between_groups(rows: DataFrame) -> DataFrame:
+    """The rows, with their group, of the shingles that several groups share and a smaller set's prefix has."""
+    keys = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.bool_or("short").alias("c")).filter("a <> b AND c").select("key")
+    return written(rows.join(few(written(keys, "keys")), "key", "left_semi"), "rows")
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """The prefix_rows() dealt in cells: (cell, unit, group, n, _k, rest).
+    """The between_groups() rows dealt in cells: (cell, unit, group, n, _k, rest).
 
     In a cell, rows of unit 0 meet those of unit 1: a shingle's rows in short prefixes meet all of its rows of other components. Of more than
     BLOCK rows, those of the largest component meet the others only, and both sides are dealt in blocks, each two of which have a cell.
@@ -361,7 +367,7 @@ def fitting_pairs(cell: np.ndarray, unit: np.ndarray, group: np.ndarray, n: np.n
 
 
 def cell_pairs(rows: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
-    """(child, parent) of the prefix_rows() that are of other groups and can be similar enough.
+    """(child, parent) of the between_groups() rows that are of other groups and can be similar enough.
 
     Every such pair, or else the nearest one of each two groups. bits has the bitmap of each _k.
     """
@@ -426,11 +432,10 @@ def find(keyed: DataFrame, width: int = WORDS) -> DataFrame:
         look(ends.select(F.greatest("child", "parent").alias("child"), F.least("child", "parent").alias("parent")).distinct())
     some = crowded(grouped(some.drop("group"), joined))
     members = written(some.select("_k").distinct(), "members")
-    for every in (False, True):
-        if members.isEmpty():
-            break
-        rows = prefix_rows(keyed, grouped(members, joined), width)
-        look(cell_pairs(rows, table, every))
+    if not members.isEmpty():
+        shared = prefixes(keyed, members, width)
+        for every in (False, True):
+            look(cell_pairs(between_groups(grouped(shared, joined)), table, every))
     if joined is None:
         return table.select("_k", F.col("n").cast("bigint").alias("n"), F.coalesce(F.lit(None).cast("bigint"), "_k").alias("component")) if classes.isEmpty() else with_classes(table, classes.select("n", "h1", "h2", F.col("rep").alias("component")))
     return with_classes(table, classes.join(joined, classes.rep == joined.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")))

@@ -91,8 +91,7 @@ def test_rows_grow_with_the_number_of_template_documents(spark, own):
         template = words(rng, 100)
         texts = [" ".join(template + words(rng, own)) for _ in range(n)]
         keyed = spark.createDataFrame(list(enumerate(texts)), "_k bigint, text string")
-        members = keyed.select("_k", keyed["_k"].alias("group"))
-        rows = neardup.prefix_rows(keyed, members, 2)
+        rows = neardup.between_groups(neardup.grouped(neardup.prefixes(keyed, keyed.select("_k"), 2), None))
         sizes.append((rows.count(), neardup.cells(rows).count(), neardup.cell_pairs(rows, neardup.features(keyed), True).count()))
     assert all(large <= 5 * small + 100 for small, large in zip(*sizes))
 
