@@ -171,7 +171,7 @@ def view_reasons(raw: Column, view: Column, truncated: Column) -> Column:
     ))
 
 
-#: Features that are shown to a judge of candidates, and how many keys, hits and characters.
+#: Features that are shown to a judge of candidates, and how many keys, hits and characters.
 SHOWN = (
     "is_exact_target", "is_same_host", "has_title_key", "has_date_key", "has_list_key", "has_total_count", "has_repeated_records", "semantic_record_count", "title_date_pair_count",
     "has_notice_terms", "looks_like_non_content", "is_json_like", "is_jsonp_like", "legacy_endpoint_hint",
