@@ -5,13 +5,14 @@ vectors, each lane modulo a power of two. So it doesn't depend on the paragraphs
 deleted by adding or subtracting its vector, without the rest of the text.
 
 A paragraph's vector has two parts. SUM_LANES lanes, modulo 2^62, are hashes of the whole paragraph: equal sums mean equal
-multisets of paragraphs. SKETCH_LONGS longs hold 4 lanes each, modulo 2^14: each sentence in the paragraph adds one hash bit to
+multisets of paragraphs. SKETCH_LONGS longs hold LANES_IN_LONG lanes each, modulo 2^30: each sentence in the paragraph adds one hash bit to
 each lane. Less their mean these lanes are a random projection of the multiset of sentences, so the cosine of two
 fingerprints' lanes estimates how alike the documents are. A last number counts sentences, modulo 2^31.
 
 Nulls and edge cases: a null text is an empty one, whose vector is zero; two such are alike (1), an empty and another
 aren't (0). Rows that repeat doc_id and text are one document, whose row is returned as often; see keyed_documents for
-null and ambiguous ids. A table of one document has itself as next. An empty table gives an empty result.
+null and ambiguous ids. A table of one document has itself as next. An empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -186,3 +186,47 @@ def test_a_scope_holds_its_own_tables_only(spark):
         clear(spark, folders)
         assert not folders
     assert lazy.count() == 30
+
+
+def test_likeness_follows_the_true_overlap(spark):
+    """The likeness of two texts against the cosine of their sentences: 60 lanes err by about 0.13."""
+    rng = random.Random(8)
+    sentences = [f"sentence {i} {words(rng, 6)}.\n" for i in range(400)]
+    rows, true = [], {}
+    for i, share in enumerate([0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 1.0] * 12):
+        mine = rng.sample(sentences, 100)
+        kept = int(100 * share)
+        other = mine[:kept] + rng.sample([x for x in sentences if x not in mine], 100 - kept)
+        rng.shuffle(other)
+        rows.append((i, "".join(mine), "".join(other)))
+        true[i] = share
+    vectors = spark.createDataFrame(rows, "i int, a string, b string").select("i", fingerprint.vector(F.col("a")).alias("x"), fingerprint.vector(F.col("b")).alias("y"))
+    found = {r.i: r.like for r in fingerprint.with_likeness(vectors, "x", "y", "like").collect()}
+    errors = np.array([found[i] - true[i] for i in true])
+    assert np.abs(errors).mean() < 0.12 and np.abs(errors).max() < 0.5
+    assert all(found[i] == 1 for i in true if true[i] == 1)
+
+
+def test_toxicity_with_repeats_nulls_and_a_megabyte(spark):
+    """Every row has a score: repeated ones the same, null and empty texts one, and a megabyte without a space another."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30) + (" scum moron idiot" if i % 5 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)] + [(7, 1, 0), (None, 1, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
+    odd = [(5, rows[5][1]), (None, None), (500, ""), (501, "y" * (1 << 20)), (None, "scum moron idiot")]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("score", "toxic", "my col")})
+    found = toxicity.score_documents(docs, labels).collect()
+    assert len(found) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    assert len({r.score for r in found if r.doc_id == 5}) == 1
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_packing_and_fingerprints_of_a_megabyte(spark):
+    from gazette.llm import packing
+
+    docs = spark.createDataFrame([(1, "x" * (1 << 20)), (2, None), (2, None), (None, "a b")], "doc_id bigint, text string").withColumn("ids", F.lit(1))
+    pieces = packing.pack(docs).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, None} and sum(r.start == 0 for r in pieces) == 4
+    assert fingerprint.fingerprints(docs).count() == 4
+    assert packing.pack(docs.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, "https://a.net/" + "p" * (1 << 20))], "page_id bigint, url string")
+    assert url_filter.filter_urls(pages).first().verdict == "block"
