@@ -69,11 +69,13 @@ def date_role(key: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """records for an array of objects, array, object, string, null or value."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape.startswith("ARRAY<OBJECT<"), "records").when(shape.startswith("ARRAY<"), "array").when(shape.startswith("OBJECT<"), "object")
-        .when(shape == "STRING", "string").when(shape.isNull() | (shape == "VOID"), "null").otherwise("value")
-    )
+
+    array = F.when(F.schema_of_variant(value).startswith("ARRAY<OBJECT<"), "records").otherwise("array")
+
+    def of(sign: Column) -> Column:
+        return F.when(sign == '"', "string").when(sign == "{", "object").when(sign == "[", array).when(sign.isNull() | (sign == "n"), "null").otherwise("value")
+
+    return U.let(F.substring(F.to_json(value), 1, 1), of)
 
 
 def texts_of(json: Column) -> Column:
@@ -123,19 +125,24 @@ def record_arrays(body: Column) -> Column:
     return U.let(payload(body), lambda text: levels(node(text, kind(F.try_parse_json(text))), LEVELS, own))
 
 
-def field_key(keys: Column, field: str) -> Column:
-    """The key for a field among a record's keys: by the first of its names that there is, else the first of a fitting end."""
-    named = F.transform(keys, lambda k: F.struct(k.alias("key"), key_name(k).alias("name")))
+def named(keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), key_name(k).alias("name")))
+
 
-    def chosen(all_: Column) -> Column:
-        name = F.get(F.filter(F.array(*[F.lit(n) for n in NAMES[field]]), lambda n: F.exists(all_, lambda x: x["name"] == n)), 0)
-        by_name = U.let(name, lambda n: F.try_element_at(F.filter(all_, lambda x: x["name"] == n), F.lit(-1))["key"])
-        if field not in ENDS:
-            return by_name
-        fits = lambda x: x["name"].rlike(f"({'|'.join(ENDS[field])})$") & (date_role(x["key"]) == "published_at" if field == "published_at" else F.lit(True))
-        return F.coalesce(by_name, F.get(F.filter(all_, fits), 0)["key"])
+def chosen(all_: Column, field: str) -> Column:
+    """field_key() among named() keys."""
+    names = F.array(*[F.lit(n) for n in NAMES[field]])
+    placed = lambda x, i: F.struct(F.nullif(F.array_position(names, x["name"]), F.lit(0)).alias("at"), (-i).alias("last"), x["key"].alias("key"))
+    by_name = F.array_min(F.filter(F.transform(all_, placed), lambda x: x["at"].isNotNull()))["key"]
+    if field not in ENDS:
+        return by_name
+    fits = lambda x: x["name"].rlike(f"({'|'.join(ENDS[field])})$") & (date_role(x["key"]) == "published_at" if field == "published_at" else F.lit(True))
+    return F.coalesce(by_name, F.get(F.filter(all_, fits), 0)["key"])
 
-    return U.let(named, chosen)
+
+def field_key(keys: Column, field: str) -> Column:
+    """The key for a field among a record's keys: by the first of its names that there is (the last key of that name), else the first of a fitting end."""
+    return U.let(named(keys), lambda all_: chosen(all_, field))
 
 
 def link_path(record: Column) -> Column:
@@ -144,8 +151,8 @@ def link_path(record: Column) -> Column:
     The record's own key, unless it is about pictures; else that of the first object, down to LINK_LEVELS levels and not below keys
     about pictures, whose value is a text and no picture's address.
     """
-    own_key = U.let(F.map_keys(texts_of(record)), lambda keys: field_key(keys, "detail_url"))
-    own = U.let(own_key, lambda k: F.when(~holds(key_name(k), MEDIA_MARKS) & ~F.coalesce(F.try_element_at(texts_of(record), k).rlike(PICTURE), F.lit(False)), F.array(k)))
+    of_key = lambda held, k: F.when(~holds(key_name(k), MEDIA_MARKS) & ~F.coalesce(F.try_element_at(held, k).rlike(PICTURE), F.lit(False)), F.array(k))
+    own = U.let(texts_of(record), lambda held: U.let(field_key(F.map_keys(held), "detail_url"), lambda k: of_key(held, k)))
     # an object's path here is the keys above it, each behind a sign that ends keys
     objects = lambda n: F.transform(F.filter(inside(n), lambda m: (m["kind"] == "object") & ~holds(key_name(m["key"]), MEDIA_MARKS)), lambda m: F.struct(m["place"].alias("place"), F.concat(n["path"], m["key"], F.lit("\0")).alias("path"), m["key"].alias("key"), m["text"].alias("text"), m["kind"].alias("kind")))
     root = F.struct(F.array().cast("array<int>").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), record.alias("text"), F.lit("object").alias("kind"))
@@ -172,33 +179,49 @@ def scored(array: Column) -> Column:
     """
 
     def judged(sample: Column) -> Column:
-        keys = F.transform(sample, lambda r: F.map_keys(texts_of(r)))
-        all_have = F.aggregate(keys, F.get(keys, 0), F.array_intersect)
+        all_have = F.aggregate(sample, F.map_keys(F.get(sample, 0)), lambda held, r: F.array_intersect(held, F.map_keys(r)))
 
         def with_title(title: Column) -> Column:
-            titles = F.size(F.filter(sample, lambda r: F.trim(F.try_element_at(texts_of(r), title)) != ""))
+            titles = F.size(F.filter(sample, lambda r: F.trim(F.try_element_at(r, title)) != ""))
             score = 10 * titles + F.size(sample) + F.size(all_have)
             return F.when(title.isNotNull(), F.struct(F.struct((-score).alias("score"), array["place"].alias("place")).alias("order"), array["path"].alias("path"), array["text"].alias("text")))
 
-        return U.let(field_key(F.get(keys, 0), "title"), with_title)
+        return U.let(field_key(F.map_keys(F.get(sample, 0)), "title"), with_title)
 
-    return U.let(F.slice(F.from_json(array["text"], "array<string>"), 1, SAMPLE), judged)
+    return U.let(F.transform(F.slice(F.from_json(array["text"], "array<string>"), 1, SAMPLE), texts_of), judged)
 
 
-def best_arrays(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, path, records, keys, link) of each document's array of notices: a key for each of FIELDS, and the keys to the link."""
-    rows = docs.select("doc_id", "base", F.array_min(F.filter(F.transform(record_arrays(F.col("body")), scored), lambda x: x.isNotNull())).alias("best")).filter("best IS NOT NULL")
-    rows = rows.select("doc_id", "base", "best.path", F.from_json("best.text", "array<string>").alias("records"))
-    keys = lambda first: U.let(F.map_keys(texts_of(first)), lambda k: F.struct(*[field_key(k, f).alias(f) for f in FIELDS]))
-    return rows.select("*", keys(F.get("records", F.lit(0))).alias("keys"), link_path(F.get("records", F.lit(0))).alias("link"))
+def best_array(body: Column) -> Column:
+    """(path, records, keys, link) of a document's array of notices: a key for each of FIELDS, and the keys to the link. Null if there is none."""
+
+    def keys_of(first: Column) -> Column:
+        return U.let(named(F.map_keys(texts_of(first))), lambda all_: F.struct(*[chosen(all_, f).alias(f) for f in FIELDS]))
+
+    def opened(best: Column) -> Column:
+        parts = lambda records: F.struct(best["path"].alias("path"), records.alias("records"), keys_of(F.get(records, 0)).alias("keys"), link_path(F.get(records, 0)).alias("link"))
+        return F.when(best.isNotNull(), U.let(F.from_json(best["text"], "array<string>"), parts))
+
+    return U.let(F.array_min(F.filter(F.transform(record_arrays(body), scored), lambda x: x.isNotNull())), opened)
+
+
+def notices_of(docs: DataFrame, best: Column) -> DataFrame:
+    """The notices of documents (doc_id, base) in best, an array of none or one best_array(): see extract().
+
+    The arrays come out by an explode of their expression: a filter, also one that Spark adds for a column's explode, would be moved below
+    and work them out once more.
+    """
+
+    def values(record: Column, i: Column) -> Column:
+        def of(held: Column) -> Column:
+            at = lambda field: F.try_element_at(held, F.col(f"best.keys.{field}"))
+            first = F.try_element_at(held, F.get("best.link", F.lit(0)))
+            below = F.aggregate(F.slice("best.link", 2, F.greatest(F.size("best.link") - 1, F.lit(0))), first, lambda json, key: F.try_element_at(texts_of(json), key))
+            return F.struct(i.alias("record_index"), *[at(f).alias(f) for f in ("title", "author", "external_id", "published_at")], below.alias("link"))
 
+        return U.let(texts_of(record), of)
 
-def notices_of(found: DataFrame) -> DataFrame:
-    """The notices of best_arrays(): see extract()."""
-    rows = found.select("doc_id", "base", "path", "keys", "link", F.posexplode("records").alias("record_index", "record"))
-    at = lambda field: U.let(texts_of(F.col("record")), lambda held: F.try_element_at(held, F.col(f"keys.{field}")))
-    link = F.aggregate("link", F.col("record"), lambda json, key: F.try_element_at(texts_of(json), key))
-    rows = rows.select("doc_id", "record_index", "base", "path", *[at(f).alias(f) for f in ("title", "author", "external_id", "published_at")], link.alias("link"))
+    rows = docs.select("doc_id", "base", F.explode(best).alias("best"))
+    rows = rows.select("doc_id", "base", F.col("best.path").alias("path"), F.explode(F.transform("best.records", values)).alias("x")).select("doc_id", "base", "path", "x.*")
     rows = rows.select(
         "doc_id", "record_index", T.squeezed("title").alias("title"), T.squeezed("author").alias("author"), U.canonical(U.absolute(F.col("base"), F.col("link"))).alias("detail_url"),
         F.nullif(T.squeezed("external_id"), F.lit("")).alias("external_id"), T.normal_dates("published_at").alias("published_at"),
@@ -212,15 +235,15 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", body: str = "body", base: s
 
     Records without a title are left out; documents without an array of titled objects have no rows.
     """
-    return notices_of(best_arrays(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(base), F.lit("")).alias("base"), F.col(body).alias("body"))))
+    best = F.filter(F.array(best_array(F.col(body))), lambda x: x.isNotNull())
+    return notices_of(docs.withColumns({"doc_id": F.col(doc_id), "base": F.coalesce(F.col(base), F.lit(""))}), best)
 
 
 def extract_any(values: DataFrame) -> DataFrame:
-    """As extract(), of documents that have several JSON values (doc_id, base, value, body): of the value with the most records.
+    """As extract(), of documents that have several JSON values (doc_id, base, bodies): of the value with the most records.
 
     The first of equals counts, and none with a single record.
     """
-    found = best_arrays(values.select(F.struct("doc_id", "value").alias("doc_id"), "base", "body")).filter(F.size("records") > 1)
-    order = F.struct(-F.size("records"), F.col("doc_id.value"))
-    best = found.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(F.min_by(F.struct("base", "path", "records", "keys", "link"), order).alias("best"))
-    return notices_of(best.select("doc_id", "best.*"))
+    found = F.filter(F.transform("bodies", best_array), lambda x: F.size(x["records"]) > 1)
+    best = U.let(found, lambda all_: U.let(F.array_max(F.transform(all_, lambda x: F.size(x["records"]))), lambda n: F.slice(F.filter(all_, lambda x: F.size(x["records"]) == n), 1, 1)))
+    return notices_of(values, best)
