@@ -13,6 +13,8 @@ from . import urls
 RAW_CHARS = 1000
 #: Fixed pattern: the charset of a content type.
 CHARSET = r"(?i)charset\s*=\s*['\"]?([^;'\"\s]+)"
+#: Fixed pattern: the beginning of a JSON object.
+OBJECT = r"^[ \t\r\n]*\{"
 #: The kinds of a request whose responses may hold text, ends of addresses of data, and types of text (one as servers misspell it).
 TEXT_KINDS = ("document", "fetch", "xhr", "script")
 DATA_ENDS = (".fo", ".do", ".data", ".action", ".ajax")
@@ -56,11 +58,15 @@ def form_json(payload: Column) -> Column:
 
 def parsed_payload(payload: Column) -> Column:
     """(kind, body): query_only without a payload, json for a JSON object, form for fields, else raw with its first RAW_CHARS characters."""
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
-    form = form_json(payload)
-    kind = F.when(F.coalesce(payload, F.lit("")) == "", "query_only").when(is_object, "json").when(form.isNotNull(), "form").otherwise("raw")
-    body = F.when(kind == "json", payload).when(kind == "form", form).when(kind == "raw", F.concat(F.lit('{"_raw":'), quoted(F.substring(payload, 1, RAW_CHARS)), F.lit("}")))
-    return F.struct(kind.alias("kind"), body.alias("body"))
+    # what doesn't begin as an object is none and isn't parsed, as each failure to parse costs an exception
+    is_object = F.when(payload.rlike(OBJECT), F.try_parse_json(payload).isNotNull()).otherwise(False)
+
+    def told(is_object: Column, form: Column) -> Column:
+        kind = F.when(F.coalesce(payload, F.lit("")) == "", "query_only").when(is_object, "json").when(form.isNotNull(), "form").otherwise("raw")
+        raw = F.concat(F.lit('{"_raw":'), quoted(F.substring(payload, 1, RAW_CHARS)), F.lit("}"))
+        return urls.let(kind, lambda kind: F.struct(kind.alias("kind"), F.when(kind == "json", payload).when(kind == "form", form).when(kind == "raw", raw).alias("body")))
+
+    return urls.let(is_object, lambda is_object: urls.let(F.when(~is_object, form_json(payload)), lambda form: told(is_object, form)))
 
 
 def request_key(method: Column, url: Column, query: Column, body: Column) -> Column:
