@@ -255,11 +255,14 @@ def holds(titles: DataFrame, keywords: DataFrame) -> DataFrame:
     pieces of their own length.
     """
     words = keywords.select("folder_id", F.lower("keyword").alias("word")).filter("word <> ''").distinct()
-    words = words.withColumn("gram", F.substring("word", 1, GRAM))
+    different = words.select("word").distinct().withColumn("gram", F.substring("word", 1, GRAM))
     low = titles.select("id", F.lower("title").alias("low")).filter("low <> ''")
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.substring(F.col("low"), i, F.lit(n)))
     grams = low.select("id", "low", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in range(1, GRAM + 1)]))).alias("gram"))
-    return grams.join(words, "gram").filter(F.contains("low", "word")).select("folder_id", "id").distinct()
+    found = grams.join(different, "gram").filter(F.contains("low", "word")).groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    # folders are looked up for each different set of words, so no pair of a title and a folder comes about twice
+    folders = found.select("words").distinct().select("words", F.explode("words").alias("word")).join(words, "word").select("words", "folder_id").distinct()
+    return found.join(folders, "words").select("folder_id", "id")
 
 
 def categorize(titles: DataFrame, keywords: DataFrame, held: DataFrame) -> DataFrame:
