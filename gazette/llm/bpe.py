@@ -7,8 +7,8 @@ blocks are put together again from the words' ids, and decoding concatenates the
 is shuffled, and a task merges a word once. The words of a bounded sample of the documents, of which each task would meet the frequent ones,
 are merged by the same fold beforehand and broadcast; the sample only saves work, as all other words are merged where they stand.
 
-The rank map is a literal of two arrays, indexed by the pair of neighbouring ids modulo their lengths, as a lookup in a
-Spark map reads all of it. The fold's work grows with the square of a word's length: words of more than LONG_WORD bytes, such as a
+The rank map is a literal array in which the rows of all left ids lie across each other, so that one look finds a pair of neighbours; a lookup in
+a Spark map reads all of it. The fold's work grows with the square of a word's length: words of more than LONG_WORD bytes, such as a
 megabyte without a space, are merged in the task by a heap of neighbouring pairs.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to an empty text. Rows are encoded one by one, repeated
@@ -38,14 +38,14 @@ SHARED, SAMPLE_STEP, SAMPLE_DOCS = 400_000, 16, 200_000
 #: Distinct words that a task numbers before it starts again.
 WORDS = 1_000_000
 LONG_WORD = 512
-#: What the lookup gives for two pieces that can't be joined.
+#: Above all ids.
 NO_ID = 1 << 16
-#: An entry of the rank map that no pair has.
+#: An entry of two_tables that no pair has.
 EMPTY = 0
+#: The starts of rows in the rank map are below START. What its lookup gives is below JOINABLE if two pieces can be joined; NO_PAIR is an entry of none.
+START, JOINABLE, NO_PAIR = 1 << 20, 1 << 36, 1 << 50
 #: What stands before the ids of a word that no merge is left for.
 DONE = -1
-#: Pieces that decoding concatenates at once.
-PIECES = 16
 
 
 @functools.cache
@@ -95,42 +95,87 @@ def two_tables(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
         size = size * 5 // 4
 
 
+def dealt_rows(pairs: dict[int, int]) -> dict[int, int]:
+    """Where the row of each left id starts in one array, so that no place start + right id is two pairs': the longest rows are placed first."""
+    import numpy as np
+
+    rows: dict[int, list[int]] = {}
+    for pair in pairs:
+        rows.setdefault((pair >> 32) - 1, []).append(pair >> 16 & 0xFFFF)
+    taken, starts, at, size = np.zeros(START, bool), {}, 0, 0
+    for left, rights in sorted(rows.items(), key=lambda row: (-len(row[1]), row[0])):
+        # rows of about one length don't look again where the one before found no place
+        at, size = at if len(rights).bit_length() == size else 0, len(rights).bit_length()
+        places = np.array(rights)
+        while True:
+            if at + 64 + 65536 > START:
+                raise ValueError("too many merges")
+            free = ~taken[places[:, None] + np.arange(at, at + 64)].any(0)
+            if free.any():
+                break
+            at += 64
+        at += int(free.argmax())
+        taken[places + at] = True
+        starts[left] = at
+    return starts
+
+
+@functools.cache
+def rank_arrays(path: str) -> tuple[list[int], list[int]]:
+    """The array of RankMap, and the pieces of the bytes by their ids."""
+    ranks = read_ranks(path)
+    pairs = pair_table(ranks)
+    starts = dealt_rows(pairs)
+    lower = [i << 20 | starts.get(i, 0) for i in range(max(ranks.values()) + 1)]
+    table = [NO_PAIR] * (max(starts.values(), default=0) + len(lower))
+    for pair, joined in pairs.items():
+        left = (pair >> 32) - 1
+        table[starts[left] + (pair >> 16 & 0xFFFF)] = (left << 36 | lower[left]) ^ lower[joined]
+    return table, [i << 36 | lower[i] for i in range(max(r for piece, r in ranks.items() if len(piece) == 1) + 1)]
+
+
 class RankMap:
-    """The literal rank map as two arrays, and the lookups of a pair of neighbours in them."""
+    """The literal rank map as one array, and the lookup of a pair of neighbours in it.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.tables = two_tables(pair_table(ranks))
-        self.literals = [F.from_json(F.lit(json.dumps(t)), "array<bigint>") for t in self.tables]
+    A piece is id << 36 | id << 20 | start, with the start of the row of its id. A pair's entry is at start + right id: the left piece, XOR the
+    joined piece without its upper id. So it gives the joined piece to its own left piece, and JOINABLE or more to any other.
+    """
+
+    def __init__(self, path: str):
+        self.table, self.singles = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in rank_arrays(path))
+
+    def pieces(self, ids: Column) -> Column:
+        """The pieces of bytes, given by their ids."""
+        return F.transform(ids, lambda i: F.get(self.singles, i.cast("int")))
 
-    def ids_of(self, pairs: Column) -> Column:
-        """The id of each joined pair, NO_ID where it can't be joined. What is left of an entry without the pair is its id, if it is the pair's."""
-        rest = lambda pair, k: F.get(self.literals[k], pair % len(self.tables[k])).bitwiseXOR(pair)
-        return F.transform(pairs, lambda pair: F.least(rest(pair, 0), rest(pair, 1), F.lit(NO_ID)))
+    def joined(self, left: Column, right: Column) -> Column:
+        return F.get(self.table, (left.bitwiseAND(START - 1) + F.shiftright(right, 36)).cast("int")).bitwiseXOR(left)
+
+    def whole(self, lower: Column) -> Column:
+        return lower.bitwiseOR(F.shiftleft(F.shiftright(lower, 20), 36))
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """The ids of a word, given as the ids of its bytes (an array of bigint).
+    """The ids of a word, given as the ids of its bytes (an array of bigint); at most LONG_WORD of them.
 
     A step looks up all neighbours and joins the first pair of the lowest rank; a word of n bytes takes n - 1 steps at most. A word without
     such a pair is put behind DONE, which ends the work of all further steps.
     """
 
     def near(p: Column) -> Column:
-        # the last piece's pair is null, which least() leaves out
-        return ranks.ids_of(F.transform(p, lambda x, i: F.shiftleft(x + 1, 32).bitwiseOR(F.shiftleft(F.get(p, i + 1), 16))))
-
-    def once(value: Column, like: Column, body) -> Column:
-        # body(like, value) with value evaluated once; get(transform(...), 0) would derive body's type anew for every row
-        return F.aggregate(F.array(value), like, body)
+        # with their places, which tell equal pairs apart; the last piece has no neighbour and gives null, which array_min() leaves out
+        return F.transform(p, lambda x, i: F.shiftleft(ranks.joined(x, F.get(p, i + 1)), 10).bitwiseOR(i))
 
     def step(p: Column) -> Column:
-        return once(near(p), p, lambda p, found: once(F.array_min(found), p, lambda p, low: F.when(low == NO_ID, F.concat(F.array(F.lit(DONE).cast("bigint")), p)).otherwise(join(p, low, found))))
+        # array_min(...) evaluated once; get(transform(...), 0) would derive the type anew for every row
+        return F.aggregate(F.array(F.array_min(near(p))), p, lambda p, low: F.when(low < JOINABLE << 10, join(p, ranks.whole(F.shiftright(low, 10)), low.bitwiseAND(1023).cast("int"))).otherwise(F.concat(F.array(F.lit(DONE).cast("bigint")), p)))
 
-    def join(p: Column, low: Column, found: Column) -> Column:
-        return once(F.array_position(found, low).cast("int"), p, lambda p, at: F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))))
+    def join(p: Column, piece: Column, at: Column) -> Column:
+        return F.filter(F.transform(p, lambda x, i: F.when(i == at, piece).otherwise(x)), lambda x, i: i != at + 1)
 
     done = lambda p: F.get(p, F.lit(0)) == DONE
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, lambda p, _: F.when(done(p), p).otherwise(step(p)), lambda p: F.when(done(p), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
+    merged = F.aggregate(F.slice(word, F.lit(2), F.size(word)), ranks.pieces(word), lambda p, _: F.when(done(p), p).otherwise(step(p)), lambda p: F.when(done(p), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
+    return F.transform(merged, lambda x: F.shiftright(x, 36))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -188,6 +233,17 @@ class Shared:
         return {self.text[a:b]: i for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))}
 
 
+class Numbers(dict):
+    """The numbers of words in the order in which they are met, from first on."""
+
+    def __init__(self, first: int):
+        self.first = first
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.first + len(self)
+        return n
+
+
 class Blocks:
     """Blocks of documents as numbers of words: first those of shared, then the task's own, which start anew after WORDS of them."""
 
@@ -196,8 +252,7 @@ class Blocks:
 
         self.ranks, self.any_split, self.own = read_ranks(path), splitter(pattern), pattern == public_tokenizers.PATTERN
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.shared = shared
-        self.words: dict[str, int] = {}
+        self.shared, self.words = shared, Numbers(len(shared))
         self.start()
 
     def start(self) -> None:
@@ -208,8 +263,8 @@ class Blocks:
     def add(self, doc_id: int | None, text: str) -> None:
         import numpy as np
 
-        known, shared, n = self.words, self.shared, len(self.shared)
-        self.codes.append(np.array([shared[w] if w in shared else known[w] if w in known else known.setdefault(w, n + len(known)) for w in split(text, self.any_split, self.own)], np.int32))
+        known, shared = self.words, self.shared.get
+        self.codes.append(np.array([known[w] if (n := shared(w)) is None else n for w in split(text, self.any_split, self.own)], np.int32))
         self.doc_ids.append(doc_id)
         self.bytes += len(text)
 
@@ -273,7 +328,7 @@ class Encodings:
 
 
 def shared_words(docs: DataFrame, path: str, pattern: str) -> Shared:
-    """The words of the sample, merged: all, or those in the most of its documents if there are more than SHARED."""
+    """The words of the sample, merged: all, or about SHARED of those in the most of its documents."""
     step = max(SAMPLE_STEP, docs.count() // SAMPLE_DOCS)
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.col("text").cast("string").alias("text"))
 
@@ -303,16 +358,16 @@ def shared_words(docs: DataFrame, path: str, pattern: str) -> Shared:
 
     table = written(sample.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     # how many words there are of each count: few rows, as counts are of documents of the sample
-    held, least = 0, 1
+    held, kept = 0, table
     for c, n in table.groupBy("c").count().orderBy(F.desc("c")).collect():
-        held += n
-        if held > SHARED:
-            least = c + 1
+        if held + n > SHARED:
+            # of the words of this count as many as there is room for, by their hash
+            kept = table.filter((F.col("c") > c) | (F.col("c") == c) & (F.pmod(F.xxhash64("word"), F.lit(n)) < SHARED - held))
             break
-    kept = table.filter(F.col("c") >= least)
+        held += n
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = kept.select("word").repartition(parts, "word").mapInArrow(to_bytes, "word string, bytes array<bigint>")
-    found = written(rows.select("word", fold_merges(F.col("bytes"), RankMap(read_ranks(path))).alias("ids")), "shared").toArrow().combine_chunks()
+    found = written(rows.select("word", fold_merges(F.col("bytes"), RankMap(path)).alias("ids")), "shared").toArrow().combine_chunks()
     if not found.num_rows:
         return Shared([], [], [])
     ids = found.column("ids").combine_chunks()
@@ -359,32 +414,20 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = base.mapInArrow(number_words, BLOCK)
-    ranks = RankMap(read_ranks(path))
+    ranks = RankMap(path)
     blocks = blocks.select("doc_ids", "spans", "codes", "first", "long_words", F.transform("words", lambda w: fold_merges(w, ranks)).alias("word_ids"))
     return blocks.mapInArrow(put_together, "doc_id bigint, ids array<int>, ids_bytes binary")
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes that an array of ids stands for: its binary pieces, concatenated.
-
-    A concatenation copies what it is given, so PIECES are put together at a time, then PIECES of those, and once more.
-    """
+    """The bytes that an array of ids stands for: its binary pieces, concatenated."""
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     pieces_of = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces_of[rank] = piece
     table = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces_of])), "array<binary>")
-    nothing = F.lit(b"")
-
-    def by_parts(pieces: Column, piece) -> Column:
-        places = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(PIECES))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat(*[F.coalesce(piece(F.get(pieces, i + k)), nothing) for k in range(PIECES)]))
-
-    def joined(pieces: Column, levels: int) -> Column:
-        whole = lambda p: F.aggregate(p, nothing, lambda all_, x: F.concat(all_, x)) if levels == 0 else joined(by_parts(p, lambda x: x), levels - 1)
-        return F.aggregate(F.array(pieces), nothing, lambda _, p: whole(p))
-
-    return joined(by_parts(ids, lambda i: F.get(table, i)), 2)
+    # array_join() takes strings; a binary value becomes one without a change or a check of its bytes
+    return F.array_join(F.transform(ids, lambda i: F.get(table.cast("array<string>"), i)), "").cast("binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
